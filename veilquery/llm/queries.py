@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilquery.llm import decontamination, line_dedup
+from veilquery.llm import decontamination, line_dedup, packing
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -43,6 +43,12 @@ from documents d left join g using (doc_id)
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -79,6 +85,7 @@ from dw left join covered using (doc_id) left join found using (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_packing": op3_packing,
     "op8_decontamination": op8_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
