@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilquery.llm import decontamination, line_dedup, packing
+from veilquery.llm import decontamination, line_dedup, packing, substring_dedup
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -49,6 +49,33 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+with dw as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), win as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as key
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from dw where len(w) >= 50)
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as p
+  from (select *, min(doc_id) over (partition by key) as least from win) where least < doc_id
+), words as (
+  select d.doc_id, d.i, d.w[d.i] as word, gone.p is not null as removed
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from dw where len(w) > 0) d
+  left join gone on gone.doc_id = d.doc_id and gone.p = d.i
+), g as (
+  select doc_id, count(*) filter (removed) as n_removed, string_agg(word, ' ' order by i) filter (not removed) as kept
+  from words group by doc_id
+)
+select dw.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from dw left join g using (doc_id)
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -86,6 +113,7 @@ from dw left join covered using (doc_id) left join found using (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_decontamination": op8_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
