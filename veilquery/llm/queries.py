@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilquery.llm import decontamination, line_dedup, packing, substring_dedup
+from veilquery.llm import decontamination, jaccard_join, line_dedup, packing, substring_dedup
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,6 +76,32 @@ from dw left join g using (doc_id)
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), size=4, share=85)
+
+
+OP6_SQL = rf"""
+with recursive dw as (
+  select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents
+), sh as (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from dw where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from sh group by doc_id
+), link as (
+  select a, b from (
+    select x.doc_id as a, y.doc_id as b, count(*) as both from sh x join sh y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2
+  ) join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * both >= 85 * (na.n + nb.n - both)
+), reach as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select reach.a, link.b from reach join link on reach.b = link.a
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, least_id as component_id
+from documents d left join n using (doc_id) join (select a, min(b) as least_id from reach group by a) on a = d.doc_id
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -114,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_decontamination": op8_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL}
