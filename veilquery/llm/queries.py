@@ -90,8 +90,8 @@ with recursive dw as (
   select doc_id, count(*) as n from sh group by doc_id
 ), link as (
   select a, b from (
-    select x.doc_id as a, y.doc_id as b, count(*) as both from sh x join sh y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2
-  ) join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * both >= 85 * (na.n + nb.n - both)
+    select x.doc_id as a, y.doc_id as b, count(*) as common from sh x join sh y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2
+  ) join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * common >= 85 * (na.n + nb.n - common)
 ), reach as (
   select doc_id as a, doc_id as b from documents
   union
