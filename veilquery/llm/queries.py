@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilquery.llm import decontamination, jaccard_join, line_dedup, packing, substring_dedup
+from veilquery.llm import decontamination, jaccard_join, line_dedup, packing, substring_dedup, warc
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -136,11 +136,30 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(
 from dw left join covered using (doc_id) left join found using (doc_id)
 """
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages
+), t as (
+  select *, case when n >= 1000 then max(page_id) over (partition by d, n) else page_id end as target from p
+)
+select page_id, n::bigint as payload_bytes, d as payload_digest,
+  case when target = page_id then 'response' else 'revisit' end as record_type,
+  case when target <> page_id then target end as refers_to
+from t
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_decontamination": op8_decontamination,
+    "op9_warc": op9_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL,
+    "op9_warc": OP9_SQL}
