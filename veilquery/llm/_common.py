@@ -28,6 +28,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent_if_small(keys: DataFrame, *, rows: int = 1_000_000) -> DataFrame:
+    """A key table, with the wish to broadcast it when a count shows at most ``rows`` of its rows;
+    otherwise Spark joins it by shuffling both sides."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see; see :func:`durable`."""
     context = spark.sparkContext

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.llm._common import SPACED, Words, durable, mix, powers, text_slices, words_of
+from veilquery.llm._common import SPACED, Words, durable, mix, powers, sent_if_small, text_slices, words_of
 
 _POSITION_BITS = 28
 
@@ -85,8 +85,8 @@ def _marks(window: int, size: int):
     return run
 
 
-def _passages(window: int):
-    """The words of each passage; of hot ones a hash for each window instead."""
+def _passages(window: int, hashed: bool):
+    """The words of each passage, or a hash for each of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,18 +94,17 @@ def _passages(window: int):
             for doc_id, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode()
                 words = data.split()
-                grams = None
+                if hashed:
+                    raw = np.frombuffer(data, np.uint8)
+                    grams = words_of(raw, np.array([0, len(raw)]), SPACED).grams(window).view(np.int64).tolist()
                 for w in wanted:
                     a, b = w["first"], w["last"] + window
-                    if not w["hot"]:
-                        cells = [(b" ".join(words[a:b]).decode(), None, None)]
-                    else:
-                        if grams is None:
-                            raw = np.frombuffer(data, np.uint8)
-                            grams = words_of(raw, np.array([0, len(raw)]), SPACED).grams(window).view(np.int64).tolist()
+                    if hashed:
                         cells = [(None, i - a, grams[i]) for i in range(a, b - window + 1)]
-                    for text_of, place, whole in cells:
-                        for k, v in zip(out, (w["anchor"], w["passage"], doc_id, text_of, place, whole), strict=True):
+                    else:
+                        cells = [(b" ".join(words[a:b]).decode(), None, None)]
+                    for cell in cells:
+                        for k, v in zip(out, (w["anchor"], w["passage"], doc_id, *cell), strict=True):
                             out[k].append(v)
             kinds = {"anchor": pa.int64(), "passage": pa.int64(), "doc_id": batch.schema.field(0).type, "words": pa.string(), "place": pa.int32(), "whole": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
@@ -182,7 +181,7 @@ class Automaton:
 
 def _shard(window: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "anchor", "passage"], kind="stable")
+        rows = rows.drop_duplicates(["anchor", "passage"]).sort_values(["doc_id", "anchor", "passage"], kind="stable")
         automaton, numbers = Automaton(), {}
         starts, ends = [], []
         for text, document in zip(rows["words"], rows["doc_id"].tolist(), strict=True):
@@ -214,62 +213,79 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """Documents that have an id, with the hash of their text."""
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("own"), "text")
+
+
 def repeated_spans(
-    docs: DataFrame, *, window: int = 50, anchor: int = 12, shard_words: int = 60_000, hot_passages: int = 500
+    docs: DataFrame, *, window: int = 50, anchor: int = 12, shard_words: int = 60_000, hot_passages: int = 1500
 ) -> DataFrame:
     """Word spans [a, b) to remove: doc_id, own (hash of the text), spans."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("own"), "text")
-    marks = own.mapInArrow(_marks(window, anchor), f"anchor long, passage long, doc_id {id_type}, own long, first int, last int")
+    return _spans(_identified(docs), window, anchor, shard_words, hot_passages)[0]
+
+
+def _spans(own: DataFrame, window: int, anchor: int, shard_words: int, hot_passages: int) -> tuple[DataFrame, DataFrame]:
+    """The spans, and the keys of the only documents that can have any."""
+    id_type = own.schema["doc_id"].dataType.simpleString()
+    marks = own.select("doc_id", "own", "text").mapInArrow(
+        _marks(window, anchor), f"anchor long, passage long, doc_id {id_type}, own long, first int, last int"
+    )
     shared = marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     marks = durable(marks.join(shared, "anchor", "left_semi"))
     least = durable(
         marks.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "own", "first", "last")).alias("m")).select("anchor", "passage", "m.*")
     )
-    hot = least.groupBy("anchor").count().where(F.col("count") > hot_passages).select("anchor", F.lit(True).alias("hot"))
-    total = least.agg(F.count("*"), F.coalesce(F.sum(F.col("last") - F.col("first") + window), F.lit(0))).first()
-    shards = max(1, math.ceil(total[1] / shard_words))
-    wanted = (
-        least.join(hot, "anchor", "left").groupBy("doc_id", "own")
-        .agg(F.collect_list(F.struct("anchor", "passage", "first", "last", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    )
-    passages = own.join(wanted, ["doc_id", "own"]).select("doc_id", "text", "wanted").mapInArrow(
-        _passages(window), f"anchor long, passage long, doc_id {id_type}, words string, place int, whole long"
-    )
-    passages = durable(passages)
-    by_automaton = (
-        passages.where("words is not null").dropDuplicates(["anchor", "passage"])
+    touched = sent_if_small(durable(marks.select("doc_id", "own").distinct()))
+    own = own.join(touched, ["doc_id", "own"], "left_semi")
+    hot = durable(least.groupBy("anchor").count().where(F.col("count") > hot_passages).select("anchor"))
+    total = least.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + window), F.lit(0))).first()[0]
+    shards = max(1, math.ceil(total / shard_words))
+
+    def passages(of: DataFrame, hashed: bool) -> DataFrame:
+        wanted = of.groupBy("doc_id", "own").agg(F.collect_list(F.struct("anchor", "passage", "first", "last")).alias("wanted"))
+        return own.join(wanted, ["doc_id", "own"]).select("doc_id", "text", "wanted").mapInArrow(
+            _passages(window, hashed), f"anchor long, passage long, doc_id {id_type}, words string, place int, whole long"
+        )
+
+    any_hot = hot.limit(1).count() > 0
+    removed = (
+        passages(least.join(hot, "anchor", "left_anti") if any_hot else least, False)
         .groupBy(F.pmod(F.hash("anchor"), F.lit(shards)).alias("shard"))
         .applyInPandas(_shard(window), f"anchor long, passage long, least {id_type}, starts array<int>, ends array<int>")
     )
-    windows = passages.where("words is null")
-    before = windows.groupBy("anchor", "whole").agg(F.min("doc_id").alias("earlier"))
-    by_hash = (
-        windows.join(before, ["anchor", "whole"])
-        .groupBy("anchor", "passage").agg(
-            F.min("doc_id").alias("least"),
-            F.array_sort(F.collect_set(F.when(F.col("earlier") < F.col("doc_id"), F.col("place")))).alias("starts"),
+    if any_hot:
+        windows = durable(passages(least.join(hot, "anchor", "left_semi"), True))
+        before = windows.groupBy("anchor", "whole").agg(F.min("doc_id").alias("earlier"))
+        by_hash = (
+            windows.join(before, ["anchor", "whole"])
+            .groupBy("anchor", "passage").agg(
+                F.min("doc_id").alias("least"),
+                F.array_sort(F.collect_set(F.when(F.col("earlier") < F.col("doc_id"), F.col("place")))).alias("starts"),
+            )
+            .withColumn("ends", F.transform("starts", lambda x: x + window))
         )
-        .withColumn("ends", F.transform("starts", lambda x: x + window))
-    )
-    removed = by_automaton.unionByName(by_hash)
+        removed = removed.unionByName(by_hash)
     pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
     whole = F.array(pair(F.col("first"), F.col("last") + window))
     part = F.zip_with("starts", "ends", lambda a, b: pair(F.col("first") + a, F.col("first") + b))
-    return (
+    spans = (
         marks.join(removed, ["anchor", "passage"])
         .withColumn("spans", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(part))
         .where(F.size("spans") > 0)
         .groupBy("doc_id", "own").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     )
+    return spans, touched
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, **options) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, window: int = 50, anchor: int = 12, shard_words: int = 60_000, hot_passages: int = 1500
+) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (its kept words, joined by one space)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeated_spans(docs, window=window, **options)
     own = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")
-    return (
-        own.join(spans, ["doc_id", "own"], "left").select("doc_id", "text", "spans")
-        .mapInArrow(_cut, f"doc_id {id_type}, n_words long, n_removed long, kept string")
-    )
+    spans, touched = _spans(_identified(docs), window, anchor, shard_words, hot_passages)
+    known = own.join(touched, ["doc_id", "own"], "left_semi").join(spans, ["doc_id", "own"], "left").select("doc_id", "text", "spans")
+    # documents without a shared anchor need no join with the spans
+    rest = own.join(touched, ["doc_id", "own"], "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
+    return known.unionByName(rest).mapInArrow(_cut, f"doc_id {id_type}, n_words long, n_removed long, kept string")
