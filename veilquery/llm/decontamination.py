@@ -151,21 +151,24 @@ def _matches(block, text_column: str = "text"):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: doc_id, text, n_words, n_hit, items (sorted ids of found items), longest (the
-    longest verbatim match: length in words, start word, item; null if none)."""
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """The rows with _words and _found."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    out = docs.select(
-        "doc_id", "text", F.lit(0).cast("long").alias("_words"),
-        F.array().cast(T.ArrayType(_FOUND)).alias("_found"),
-    )
+    out = docs.withColumns({"_words": F.lit(0).cast("long"), "_found": F.array().cast(T.ArrayType(_FOUND))})
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         rows = [(r["item"], r["text"]) for r in part.toLocalIterator()]
         out = out.mapInArrow(_matches(spark.sparkContext.broadcast(_Block(rows, window))), out.schema)
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """One row per document: doc_id, text, n_words, n_hit, items (sorted ids of found items), longest (the
+    longest verbatim match: length in words, start word, item; null if none)."""
+    out = _searched(docs.select("doc_id", "text"), benchmark, window, block_bytes)
     covered = F.aggregate(
         F.array_sort(F.transform("_found", lambda x: F.struct(x["start"].alias("s"), (x["start"] + x["length"]).alias("e")))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")),
@@ -183,13 +186,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
-    """The documents in which no benchmark window occurs, all their columns kept.
-
-    Rows are told apart by (doc_id, text), so no second pass over other columns is
-    needed to decide and repeated rows share their fate."""
-    hit = (
-        contamination(docs, benchmark, window=window).where("n_hit > 0")
-        .select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")).distinct()
-    )
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_hash"]), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """The documents in which no benchmark window occurs, with all their columns; one pass, no join."""
+    return _searched(docs, benchmark, window, block_bytes).where(F.size("_found") == 0).drop("_words", "_found")
