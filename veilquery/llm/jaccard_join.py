@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.llm._common import SPACED_LOWER, components, durable, mix, powers, text_slices, words_of
+from veilquery.llm._common import SPACED_LOWER, components, durable, mix, powers, sent_if_small, text_slices, words_of
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -101,8 +101,8 @@ def _pair_keys(cell_bits: int, level: int, hot: np.ndarray, missing: int) -> np.
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def signatures(tokens: np.ndarray, hot: np.ndarray, share: int) -> np.ndarray:
-    """Index keys of one set (sorted hashes); hot: sorted frequent tokens."""
+def signatures(tokens: np.ndarray, hot: np.ndarray, share: int) -> tuple[np.ndarray, bool]:
+    """Index keys of one set (sorted hashes), and whether all are rare tokens; hot: sorted frequent tokens."""
     n = len(tokens)
     need = n - (share * n + 99) // 100 + 1
     if len(hot):
@@ -114,23 +114,25 @@ def signatures(tokens: np.ndarray, hot: np.ndarray, share: int) -> np.ndarray:
     if len(rare) < need and len(often):
         low, high = ((share * n + 99) // 100).bit_length() - 1, (n * 100 // share).bit_length() - 1
         keys += [_pair_keys(max(0, level - 2), level, often, need - len(rare)) for level in range(low, high + 1)]
-    return np.concatenate(keys)
+    return np.concatenate(keys), len(rare) == need
 
 
 def _index(size: int, share: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = hot.value
         for batch in batches:
-            keys, rows, sizes = [], [], []
+            keys, rows, sizes, plain, places = [], [], [], [], []
             for k, tokens in _sets(batch.column(1), size):
-                own = signatures(tokens, often, share)
+                own, single = signatures(tokens, often, share)
                 keys.append(own)
                 rows.append(np.full(len(own), k))
                 sizes.append(np.full(len(own), len(tokens)))
+                plain.append(np.full(len(own), single))
+                places.append(np.arange(len(own), dtype=np.int32) if single else np.zeros(len(own), np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes).astype(np.int32))],
-                    ["key", "doc_id", "n"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(plain)), pa.array(np.concatenate(places))],
+                    ["key", "doc_id", "n", "single", "place"],
                 )
 
     return run
@@ -162,7 +164,7 @@ def _similar(share: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, frequent: float = 0.0005) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, frequent: float = 0.0002) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of
     Jaccard similarity >= share / 100, itself included)."""
     spark = docs.sparkSession
@@ -174,7 +176,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, frequent
     often = seen.where("token is not null").groupBy("token").agg(F.sum("seen").alias("s")).where(F.col("s") >= max(8, frequent * total))
     hot = np.sort(np.array([r[0] for r in often.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
     texts = docs.where("doc_id is not null and text is not null")
-    entries = texts.mapInArrow(_index(size, share, spark.sparkContext.broadcast(hot)), f"key long, doc_id {id_type}, n int")
+    entries = texts.mapInArrow(_index(size, share, spark.sparkContext.broadcast(hot)), f"key long, doc_id {id_type}, n int, single boolean, place int")
     shared = entries.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     first = profile.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = durable(first)
@@ -184,41 +186,60 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, frequent
     # of each bucket the smallest member and one at random lead
     leaders = (
         entries.groupBy("key").agg(
-            F.min(F.struct("doc_id", "n")).alias("l1"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("r"), "doc_id", "n")).alias("l2"), F.count("*").alias("c")
+            F.min(F.struct("doc_id", "n", "single")).alias("l1"),
+            F.min(F.struct(F.xxhash64("doc_id", "key").alias("r"), "doc_id", "n", "single")).alias("l2"), F.count("*").alias("c"),
         ).where("c > 1")
     )
     fits = lambda m, n: (100 * F.least(m, n) >= share * F.greatest(m, n))
-    led = entries.join(leaders, "key").select("doc_id", "n", F.explode(F.array(F.col("l1"), F.struct("l2.doc_id", "l2.n"))).alias("l"))
+    led = entries.join(leaders, "key").select("doc_id", "n", "single", F.explode(F.array(F.col("l1"), F.struct("l2.doc_id", "l2.n", "l2.single"))).alias("l"))
     star = durable(
         led.where((F.col("doc_id") != F.col("l.doc_id")) & fits(F.col("n"), F.col("l.n")))
-        .select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
+        .select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b"), (F.col("single") | F.col("l.single")).alias("counted"))
+        .distinct()
     )
-    wanted = entries.join(leaders.select("key"), "key", "left_semi").select("doc_id").distinct()
-    sets = durable(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_whole(size), f"doc_id {id_type}, tokens binary"))
+    overlap = lambda m, n: F.ceil(share * (m + n) / F.lit(100 + share) - F.lit(1e-9))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar.  Of a document's single-token prefix at most n - (least overlap) tokens
+        can be missing from a partner, so most pairs fall to a count of their common keys before any set is read."""
+        side = lambda k: entries.select(F.col("doc_id").alias(k), "key", F.col("n").alias(f"n{k}"), F.col("single").alias(f"s{k}"))
+        least = overlap(F.col("na"), F.col("nb"))
+        bound = lambda k: F.when(F.col(f"s{k}"), least - F.ceil(F.lit(share / 100) * F.col(f"n{k}") - F.lit(1e-9)) + 1)
+        close = durable(
+            pairs.where("counted").join(side("a"), "a").join(side("b"), ["b", "key"])
+            .groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.count("*").alias("common"))
+            .where(F.col("common") >= F.coalesce(F.least(bound("a"), bound("b")), F.lit(1))).select("a", "b")
+            .unionByName(pairs.where("not counted").select("a", "b"))
+        )
+        wanted = sent_if_small(durable(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+        sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_whole(size), f"doc_id {id_type}, tokens binary")
         own = lambda k: sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(f"t{k}"))
-        return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_similar(share), f"a {id_type}, b {id_type}")
+        return close.join(own("a"), "a").join(own("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_similar(share), f"a {id_type}, b {id_type}")
 
     links = durable(verified(star))
     found = components(links)
     # what is left: members of one bucket in different components
     member = (
         entries.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        .select("key", "doc_id", "n", "single", "place", F.coalesce("component", "doc_id").alias("c"))
     )
     parts = member.groupBy("key", "c").count()
     mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("count", "c")).alias("m")).where("k > 1").select("key", F.col("m.c").alias("main"))
     member = durable(member.join(mixed, "key"))
-    minor = member.where("c <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    minor = member.where("c <> main").select(
+        "key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("single").alias("sx"), F.col("place").alias("px")
+    )
+    # the first token that two sets share stands at most n - (least overlap) places from either beginning
+    early = lambda n, place: place <= n - overlap(F.col("n"), F.col("nx"))
     other = (
         minor.join(member, "key")
         .where((F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("doc_id") > F.col("x"))) & fits(F.col("n"), F.col("nx")))
-        .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+        .where(~(F.col("single") & F.col("sx")) | (early(F.col("n"), F.col("place")) & early(F.col("nx"), F.col("px"))))
+        .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"), (F.col("single") | F.col("sx")).alias("counted")).distinct()
     )
-    more = durable(verified(other.join(star, ["a", "b"], "left_anti")))
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
+    other = durable(other.join(star, ["a", "b"], "left_anti"))
+    if other.limit(1).count():
+        found = components(links.unionByName(verified(other)))
     named = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return profile.join(named, ["n", "d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -226,6 +247,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, frequent
     )
 
 
-def is_representative(row_id: str = "doc_id", component: str = "component_id") -> Column:
-    """Whether a row is the document that its component keeps."""
-    return F.coalesce(F.col(row_id) == F.col(component), F.lit(True))
+def one_of_each_group(docs: DataFrame, *, size: int = 5, share: int = 80, **options) -> DataFrame:
+    """The documents, with all their columns, that are the smallest doc_id of their component; one row of a
+    repeated doc_id.  Documents without words or without an id stay."""
+    found = durable(near_duplicates(docs, size=size, share=share, **options))
+    gone = sent_if_small(durable(found.where("doc_id <> component_id").select("doc_id").distinct()))
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = durable(found.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
+    if not twice.limit(1).count():
+        return kept
+    twice = sent_if_small(twice)
+    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilquery.llm import decontamination, jaccard_join, line_dedup, packing, substring_dedup, toxicity, warc
+from veilquery.llm import decontamination, embedding_dedup, jaccard_join, line_dedup, packing, substring_dedup, toxicity, warc
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,6 +76,28 @@ from dw left join g using (doc_id)
 """
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+with recursive u as (
+  select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings where label is not null
+), link as (
+  select x.vec_id as a, y.vec_id as b from u x join u y
+  on x.label = y.label and x.vec_id <> y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.98
+), reach as (
+  select vec_id as a, vec_id as b from embeddings
+  union
+  select reach.a, link.b from reach join link on reach.b = link.a
+), n as (
+  select a, count(*) as n_links from link group by a
+)
+select vec_id, coalesce(n_links, 0) as n_links, c as component_id, vec_id = c as kept
+from embeddings left join n on n.a = vec_id join (select a, min(b) as c from reach group by a) r on r.a = vec_id
+"""
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), size=4, share=85)
 
@@ -161,10 +183,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL,
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL,
     "op9_warc": OP9_SQL}
