@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilquery.llm import decontamination, embedding_dedup, jaccard_join, line_dedup, packing, substring_dedup, toxicity, warc
+from veilquery.llm import decontamination, embedding_dedup, html_extract, jaccard_join, line_dedup, packing, substring_dedup, toxicity, warc
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -82,7 +82,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with recursive u as (
-  select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings where label is not null
+  select vec_id, label, embedding::double[] as e from embeddings where label is not null
 ), link as (
   select x.vec_id as a, y.vec_id as b from u x join u y
   on x.label = y.label and x.vec_id <> y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.98
@@ -124,6 +124,10 @@ from documents d left join n using (doc_id) join (select a, min(b) as least_id f
 """
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -185,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_html_extraction": op7_html_extraction,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
