@@ -125,12 +125,15 @@ def respond(source: DataFrame, query: PrivateQuery, order_by: str, **options) ->
     sent = source.sparkSession.sparkContext.broadcast(query.elements)
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        total, elements = scheme.neutral(), sent.value
-        for row, chunk in zip(rows["row"].tolist(), rows["chunk"], strict=True):
-            total = scheme.add(total, scheme.times(elements[row], int.from_bytes(chunk, "big")))
-        return pd.DataFrame({"result_set": rows["result_set"].iloc[:1], "column": rows["column"].iloc[:1], "value": [_bytes(total)]})
-
-    return cells(source, query, order_by, **options).groupBy("result_set", "column").applyInPandas(summed, "result_set long, column long, value binary")
+        totals, elements = {}, sent.value
+        for column, row, chunk in zip(rows["column"].tolist(), rows["row"].tolist(), rows["chunk"], strict=True):
+            own = scheme.times(elements[row], int.from_bytes(chunk, "big"))
+            totals[column] = scheme.add(totals[column], own) if column in totals else own
+        return pd.DataFrame({"result_set": [int(rows["result_set"].iloc[0])] * len(totals), "column": list(totals), "value": [_bytes(v) for v in totals.values()]})
+
+    # neighbouring columns share a group, which holds at most 64 * 2**hash_bits chunks
+    grouped = cells(source, query, order_by, **options).groupBy("result_set", F.floor(F.col("column") / 64).alias("_block"))
+    return grouped.applyInPandas(summed, "result_set long, column long, value binary")
 
 
 def decrypt(response: DataFrame, key: QueryKey) -> DataFrame:
