@@ -33,6 +33,10 @@ def _leaf(text: Column, scalar: str) -> Column:
     return text.try_cast(FIELD_TYPES[scalar])
 
 
+def _each(scalar: str):
+    return lambda text: _leaf(text, scalar)
+
+
 def json_fields(line: Column, schema: DataSchema) -> list[Column]:
     """The declared fields of a JSON text; nested ones are addressed by a path with ``|``, objects become JSON text."""
     out = []
@@ -40,7 +44,7 @@ def json_fields(line: Column, schema: DataSchema) -> list[Column]:
         scalar, is_list = field_type(f.type)
         raw = F.get_json_object(line, _path(f.name))
         if is_list:
-            items = F.transform(F.from_json(F.concat(F.lit('{"a":'), raw, F.lit("}")), "a array<string>")["a"], lambda x, s=scalar: _leaf(x, s))
+            items = F.transform(F.from_json(F.concat(F.lit('{"a":'), raw, F.lit("}")), "a array<string>")["a"], _each(scalar))
             out.append(items.alias(f.name))
         else:
             out.append(_leaf(raw, scalar).alias(f.name))
