@@ -298,7 +298,7 @@ def training_pages(n: int, seed: int) -> list[list[tuple[str, bool]]]:
         text = _sentences(r, 1, 9)
         return pick(
             [f"<p>{text}</p>"] * 6 + [f"<p><b>{text}<br>", f"<p><a href=/y>{_words(r, 1, 3)}</a> {text}</p>", f"<blockquote><p>{text}</p></blockquote>", f"<h2>{_words(r, 2, 7)}</h2>",
-             f"<h2>{_words(r, 2, 7)}</h2><p>{text}</p>", f"<ul><li>{_sentences(r, 1, 2)}</li><li>{_words(r, 3, 9)}</li></ul>", f"<p>{_words(r, 1, 3)}.</p>", f"<pre>{text}</pre>", f"<table><tr><td>{_words(r, 1, 4)}</td><td>{_words(r, 1, 4)}</td></tr></table>"]
+             f"<h2>{_words(r, 2, 7)}</h2><p>{text}</p>", f"<ul><li>{_sentences(r, 1, 2)}</li><li>{_words(r, 3, 9)}</li></ul>", f"<p>{_words(r, 1, 3)}.</p>", f"<p>{_words(r, 1, 5)}</p>", f"<p>{_words(r, 1, 5)}", f"<pre>{text}</pre>", f"<table><tr><td>{_words(r, 1, 4)}</td><td>{_words(r, 1, 4)}</td></tr></table>"]
         )
 
     pages = []
