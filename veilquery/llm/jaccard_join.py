@@ -101,8 +101,8 @@ def _pair_keys(cell_bits: int, level: int, hot: np.ndarray, missing: int) -> np.
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def signatures(tokens: np.ndarray, hot: np.ndarray, share: int) -> tuple[np.ndarray, bool]:
-    """Index keys of one set (sorted hashes), and whether all are rare tokens; hot: sorted frequent tokens."""
+def signatures(tokens: np.ndarray, hot: np.ndarray, share: int) -> tuple[np.ndarray, bool, int]:
+    """Index keys of one set (sorted hashes), whether all are rare tokens, and how many are; hot: sorted frequent tokens."""
     n = len(tokens)
     need = n - (share * n + 99) // 100 + 1
     if len(hot):
@@ -114,7 +114,7 @@ def signatures(tokens: np.ndarray, hot: np.ndarray, share: int) -> tuple[np.ndar
     if len(rare) < need and len(often):
         low, high = ((share * n + 99) // 100).bit_length() - 1, (n * 100 // share).bit_length() - 1
         keys += [_pair_keys(max(0, level - 2), level, often, need - len(rare)) for level in range(low, high + 1)]
-    return np.concatenate(keys), len(rare) == need
+    return np.concatenate(keys), len(rare) == need, len(rare)
 
 
 def _index(size: int, share: int, hot):
@@ -123,12 +123,13 @@ def _index(size: int, share: int, hot):
         for batch in batches:
             keys, rows, sizes, plain, places = [], [], [], [], []
             for k, tokens in _sets(batch.column(1), size):
-                own, single = signatures(tokens, often, share)
+                own, single, n_rare = signatures(tokens, often, share)
                 keys.append(own)
                 rows.append(np.full(len(own), k))
                 sizes.append(np.full(len(own), len(tokens)))
                 plain.append(np.full(len(own), single))
-                places.append(np.arange(len(own), dtype=np.int32) if single else np.zeros(len(own), np.int32))
+                # tokens of the prefix before each key: a pair of frequent tokens stands after all rare ones
+                places.append(np.minimum(np.arange(len(own), dtype=np.int32), n_rare).astype(np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(plain)), pa.array(np.concatenate(places))],
@@ -183,21 +184,26 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, frequent
     entries = durable(
         entries.join(shared, "key", "left_semi").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     )
-    # of each bucket the smallest member and one at random lead
+    overlap = lambda m, n: F.ceil(share * (m + n) / F.lit(100 + share) - F.lit(1e-9))
+    # the first token that two sets share stands after at most n - (least overlap) tokens of either; if they share
+    # no rare token, all rare tokens of either are such
+    early = lambda n, place, m: place <= n - overlap(n, m)
+    # of each bucket one member at random leads, and one that is likely the centre of a group of copies: a set of
+    # frequent tokens with the fewest tokens of its own, or else the smallest doc_id
+    centre = F.struct(F.when(F.col("single"), F.lit(1 << 30)).otherwise(F.col("place")).alias("o"), F.when(F.col("single"), 0).otherwise(-F.col("n")).alias("m"), "doc_id", "n", "single")
     leaders = (
         entries.groupBy("key").agg(
-            F.min(F.struct("doc_id", "n", "single")).alias("l1"),
+            F.min(centre).alias("l1"),
             F.min(F.struct(F.xxhash64("doc_id", "key").alias("r"), "doc_id", "n", "single")).alias("l2"), F.count("*").alias("c"),
         ).where("c > 1")
     )
     fits = lambda m, n: (100 * F.least(m, n) >= share * F.greatest(m, n))
-    led = entries.join(leaders, "key").select("doc_id", "n", "single", F.explode(F.array(F.col("l1"), F.struct("l2.doc_id", "l2.n", "l2.single"))).alias("l"))
+    led = entries.join(leaders, "key").select("doc_id", "n", "single", "place", F.explode(F.array(F.struct("l1.doc_id", "l1.n", "l1.single"), F.struct("l2.doc_id", "l2.n", "l2.single"))).alias("l"))
     star = durable(
-        led.where((F.col("doc_id") != F.col("l.doc_id")) & fits(F.col("n"), F.col("l.n")))
+        led.where((F.col("doc_id") != F.col("l.doc_id")) & fits(F.col("n"), F.col("l.n")) & early(F.col("n"), F.col("place"), F.col("l.n")))
         .select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b"), (F.col("single") | F.col("l.single")).alias("counted"))
         .distinct()
     )
-    overlap = lambda m, n: F.ceil(share * (m + n) / F.lit(100 + share) - F.lit(1e-9))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar.  Of a document's single-token prefix at most n - (least overlap) tokens
@@ -229,12 +235,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, frequent
     minor = member.where("c <> main").select(
         "key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("single").alias("sx"), F.col("place").alias("px")
     )
-    # the first token that two sets share stands at most n - (least overlap) places from either beginning
-    early = lambda n, place: place <= n - overlap(F.col("n"), F.col("nx"))
     other = (
         minor.join(member, "key")
         .where((F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("doc_id") > F.col("x"))) & fits(F.col("n"), F.col("nx")))
-        .where(~(F.col("single") & F.col("sx")) | (early(F.col("n"), F.col("place")) & early(F.col("nx"), F.col("px"))))
+        .where(early(F.col("n"), F.col("place"), F.col("nx")) & early(F.col("nx"), F.col("px"), F.col("n")))
         .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"), (F.col("single") | F.col("sx")).alias("counted")).distinct()
     )
     other = durable(other.join(star, ["a", "b"], "left_anti"))
