@@ -33,6 +33,23 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embedding_links_across_shards_are_whole_and_symmetric(spark):
+    r = np.random.default_rng(1)
+    base = r.standard_normal(16)
+    x = [base + 0.15 * r.standard_normal(16) for _ in range(700)] + [r.standard_normal(16) for _ in range(100)]
+    unit = np.array(x, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true = unit @ unit.T >= 0.98
+    np.fill_diagonal(true, False)
+    vectors = spark.createDataFrame([(i, [float(v) for v in e], 0) for i, e in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors, shard=40).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    n = true.sum(axis=1)
+    assert (found <= n).all() and (found[n > 0] / n[n > 0]).mean() >= 0.95
+    exact, _ = embedding_dedup.linked(vectors, exact=True, shard=40)
+    assert {r.rep: r.others for r in exact.collect()} == dict(enumerate(n.tolist()))
+
+
 def test_html_blocks_and_labels(spark):
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav><!-- x --><div class="ad">Buy   now.</div><article><h1>A &amp; B</h1><p>One <b>two</b>\n three<br>four<p>Five &#233; &lt;6<script>var a="</p>"</script></article><footer>&copy; x</footer>'
     texts = [t for _, t, _ in html_extract.blocks_of(page)]

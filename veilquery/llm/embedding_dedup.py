@@ -1,14 +1,17 @@
-"""Near-duplicate vectors by a robust-pruned flat graph.
-
-Vectors of one label (and one length) are dealt to the shards of their nearest ``overlap``
-centroids, fitted on a bounded sample.  Each shard builds a flat graph: every vector's
-nearest candidates, pruned so that a kept neighbour is not much nearer to another kept
-one.  Adjacency lists of a vector from all its shards are united.  Every vector is then a
-query in its home shard: greedy search from the shard's medoid over the united lists,
-and, once vectors in range are found, expansion through all neighbours near the range.
-Every answer is verified by cosine in double precision.  :func:`audit` measures recall
-against brute force for a set of queries; :func:`near_duplicates` repeats the build with
-more overlap when an audit falls short.
+"""Near-duplicate vectors by robust-pruned flat graphs.
+
+Vectors of one label (and one length) are dealt to the shard of their nearest centroid,
+fitted on a bounded sample; a shard that is still too large (a dense group) is split by
+hash.  Each shard builds a flat graph: every vector's nearest candidates, pruned so that a
+kept neighbour is not much nearer to another kept one.  Every vector is then a query in its
+shard: greedy search from the shard's medoid and, once vectors in range are found,
+expansion through all neighbours near the range.  Every answer is verified by cosine in
+double precision and holds for both vectors.  A share of each shard's queries is held
+against brute force; a shard whose mean recall falls short is compared in whole.
+
+Links between shards are exact: a vector can only link into a shard that begins within the
+range's chord of it (its distance to the plane between both centroids), so the vectors of
+two shards near their common border are compared in blocks, each pair once for both.
 
 Equal vectors are one point that carries their number.  Rows link only within a label;
 rows whose label is null or whose vector is null, empty, zero, or holds null, NaN or
@@ -62,111 +65,148 @@ def robust_prune(similar: np.ndarray, candidates: np.ndarray, degree: int, alpha
     return kept
 
 
-def _assign(centroids: dict, overlap: int):
+def _homes(centroids: dict):
+    """Adds the nearest centroid."""
     def run(batches):
         for rows in batches:
-            out = []
-            for (label, size), part in rows.groupby(["label", "size"], sort=False):
-                c = centroids.get((label, size))
-                if c is None:
-                    best = np.zeros((len(part), 1), dtype=np.int64)
-                else:
-                    x = _unit(part["embedding"])
-                    k = min(overlap, len(c))
-                    near = x @ c.T
-                    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, axis=1), axis=1), axis=1)
-                for j in range(best.shape[1]):
-                    out.append(part.assign(cluster=best[:, j], home=j == 0))
-            if out:
-                yield pd.concat(out)[["rep", "label", "size", "n", "embedding", "cluster", "home"]]
+            cluster = np.zeros(len(rows), dtype=np.int64)
+            for key, at in rows.groupby(["label", "size"], sort=False).indices.items():
+                c = centroids.get(key)
+                for a in range(0, len(at) if c is not None else 0, 256):
+                    some = at[a : a + 256]
+                    cluster[some] = np.argmax(_unit(rows["embedding"].iloc[some]) @ c.T, axis=1)
+            yield rows.assign(cluster=cluster)
 
     return run
 
 
-def _build(degree: int, alpha: float, pool: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _unit(rows["embedding"]), rows["rep"].to_numpy()
-        n, lists = len(ids), []
-        pool_n = min(pool, n - 1)
-        random = np.random.default_rng(7)
-        for a in range(0, n, 512):
-            near = x[a : a + 512] @ x.T
-            near[np.arange(len(near)), np.arange(a, a + len(near))] = -np.inf
-            best = np.argpartition(-near, max(pool_n - 1, 0), axis=1)[:, :pool_n] if pool_n else np.empty((len(near), 0), dtype=int)
-            for r in range(len(near)):
-                cand = best[r][np.argsort(-near[r, best[r]])]
-                # some far points among the candidates keep distant parts of the shard connected
-                cand = np.concatenate([cand, np.setdiff1d(random.integers(0, n, 6), np.append(cand, a + r))])
-                sims = np.vstack([x[cand] @ x[cand].T, near[r, cand]]) if len(cand) else np.empty((1, 0))
-                kept = robust_prune(sims, cand, degree, alpha)
-                # the nearest few stay beside the pruned list, so that dense groups are walked through
-                lists.append(ids[np.unique(np.concatenate([kept, cand[: min(6, len(cand))]]).astype(int))].tolist() if len(cand) else [])
-        return pd.DataFrame({"rep": ids, "neighbours": lists})
+def _cells(centroids: dict, splits: dict, least: float):
+    """Every vector once for its own shard (u = v) and once for each other shard that may hold a partner (u < v)."""
+    chord = np.sqrt(2 - 2 * least) + 1e-6
+
+    def run(batches):
+        for rows in batches:
+            taken, own_unit, other_unit = [], [], []
+            for (label, size), at in rows.groupby(["label", "size"], sort=False).indices.items():
+                c = centroids.get((label, size))
+                k = 1 if c is None else len(c)
+                parts = np.array([splits.get((label, size, b), 1) for b in range(k)])
+                first = np.concatenate([[0], np.cumsum(parts)])
+                for a in range(0, len(at), 256):
+                    some = at[a : a + 256]
+                    home = rows["cluster"].to_numpy()[some]
+                    unit = first[home] + rows["h1"].to_numpy()[some] % parts[home]
+                    asks = np.ones((len(some), 1), dtype=bool)
+                    if k > 1:
+                        near = _unit(rows["embedding"].iloc[some]) @ c.T
+                        between = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0))
+                        asks = near[np.arange(len(some)), home][:, None] - near <= chord * between + 1e-9
+                        asks[np.arange(len(some)), home] = True
+                    r, b = np.nonzero(np.repeat(asks, parts, axis=1))
+                    taken.append(some[r])
+                    own_unit.append(unit[r])
+                    other_unit.append(b)
+            if taken:
+                own, other = np.concatenate(own_unit), np.concatenate(other_unit)
+                out = rows.iloc[np.concatenate(taken)].assign(u=np.minimum(own, other), v=np.maximum(own, other), unit=own)
+                yield out[["rep", "label", "size", "n", "embedding", "u", "v", "unit"]]
 
     return run
 
 
-def _search(least: float, beam: int, slack: float):
-    def run(rows: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"rep": [], "others": [], "least": [], "root": []})
-        if not len(rows):
-            return empty
+def _graph(x: np.ndarray, degree: int, alpha: float, pool: int) -> list[np.ndarray]:
+    """Neighbours of each vector, in both directions."""
+    n = len(x)
+    lists: list[set[int]] = [set() for _ in range(n)]
+    pool_n = min(pool, n - 1)
+    random = np.random.default_rng(7)
+    for a in range(0, n, 512):
+        near = x[a : a + 512] @ x.T
+        near[np.arange(len(near)), np.arange(a, a + len(near))] = -np.inf
+        best = np.argpartition(-near, max(pool_n - 1, 0), axis=1)[:, :pool_n] if pool_n else np.empty((len(near), 0), dtype=int)
+        for r in range(len(near)):
+            cand = best[r][np.argsort(-near[r, best[r]])]
+            # some far points among the candidates keep distant parts of the shard connected
+            cand = np.concatenate([cand, np.setdiff1d(random.integers(0, n, 6), np.append(cand, a + r))])
+            if len(cand):
+                kept = robust_prune(np.vstack([x[cand] @ x[cand].T, near[r, cand]]), cand, degree, alpha)
+                # the nearest few stay beside the pruned list, so that dense groups are walked through
+                for j in {*kept, *cand[: min(6, len(cand))].tolist()}:
+                    lists[a + r].add(j)
+                    lists[j].add(a + r)
+    return [np.fromiter(s, dtype=np.int64, count=len(s)) for s in lists]
+
+
+def _walk(x: np.ndarray, walk: list[np.ndarray], least: float, beam: int, slack: float) -> np.ndarray:
+    """The links that greedy search finds, as a symmetric matrix."""
+    hits = np.zeros((len(x), len(x)), dtype=bool)
+    medoid = int(np.argmax(x @ x.mean(axis=0)))
+    for q in range(len(x)):
+        v = x[q]
+        seen = {medoid}
+        s = float(x[medoid] @ v)
+        frontier, best, inside = [(-s, medoid)], [s], []
+        while frontier:
+            s, i = heapq.heappop(frontier)
+            # beyond the beam only what lies near the range is expanded
+            if len(best) >= beam and -s < best[0] and -s < least - slack:
+                break
+            if -s >= least:
+                inside.append(i)
+            new = [j for j in walk[i].tolist() if j not in seen]
+            if new:
+                seen.update(new)
+                for j, t in zip(new, (x[new] @ v).tolist(), strict=True):
+                    if len(best) < beam or t > best[0] or t >= least - slack:
+                        heapq.heappush(frontier, (-t, j))
+                        heapq.heappush(best, t)
+                        if len(best) > beam:
+                            heapq.heappop(best)
+        hits[q, inside] = True
+    hits |= hits.T
+    np.fill_diagonal(hits, False)
+    return hits
+
+
+def _recall(x: np.ndarray, hits: np.ndarray, least: float) -> float:
+    """Mean recall of the shard's audited queries that have a link; the larger the shard, the more of them."""
+    asked = np.unique(np.random.default_rng(11).integers(0, len(x), max(32, len(x) // 20)))
+    true = x[asked] @ x.T >= least
+    true[np.arange(len(asked)), asked] = False
+    n = true.sum(axis=1)
+    return 1.0 if not n.any() else float(((hits[asked] & true).sum(axis=1)[n > 0] / n[n > 0]).mean())
+
+
+def _links(least: float, recall: float, exact: bool, degree: int, alpha: float, pool: int, beam: int, slack: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
         x, ids, weight = _unit(rows["embedding"]), rows["rep"].to_numpy(), rows["n"].to_numpy()
-        at = {v: i for i, v in enumerate(ids.tolist())}
-        lists: list[set[int]] = [set() for _ in ids]
-        for v, found in zip(graph["rep"].tolist(), graph["neighbours"], strict=True):
-            i = at.get(v)
-            if i is not None:
-                for w in found:
-                    j = at.get(w)
-                    if j is not None:
-                        lists[i].add(j)
-                        lists[j].add(i)
-        walk = [np.fromiter(s, dtype=np.int64, count=len(s)) for s in lists]
-        medoid = int(np.argmax(x @ x.mean(axis=0)))
-        root = list(range(len(ids)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        others, nearest = np.zeros(len(ids), dtype=np.int64), [None] * len(ids)
-        for q in np.flatnonzero(rows["home"].to_numpy()).tolist():
-            v = x[q]
-            seen = {medoid}
-            s = float(x[medoid] @ v)
-            frontier, best, inside = [(-s, medoid)], [s], []
-            while frontier:
-                s, i = heapq.heappop(frontier)
-                # beyond the beam only what lies near the range is expanded
-                if len(best) >= beam and -s < best[0] and -s < least - slack:
-                    break
-                if -s >= least:
-                    inside.append(i)
-                new = [j for j in walk[i].tolist() if j not in seen]
-                if new:
-                    seen.update(new)
-                    for j, t in zip(new, (x[new] @ v).tolist(), strict=True):
-                        if len(best) < beam or t > best[0] or t >= least - slack:
-                            heapq.heappush(frontier, (-t, j))
-                            heapq.heappush(best, t)
-                            if len(best) > beam:
-                                heapq.heappop(best)
-            for i in inside:
-                if i != q and float(np.dot(x[i], v)) >= least:
-                    others[q] += weight[i]
-                    if nearest[q] is None or ids[i] < nearest[q]:
-                        nearest[q] = ids[i]
-                    a, b = find(q), find(i)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-        tops = ids[[find(i) for i in range(len(ids))]]
-        keep = rows["home"].to_numpy() | (tops != ids)
-        return pd.DataFrame({"rep": ids, "others": np.where(rows["home"], others, 0), "least": tops, "root": rows["home"].to_numpy()})[keep]
+        left = rows["unit"].to_numpy() == rows["u"].to_numpy()
+        within = bool((rows["u"] == rows["v"]).all())
+        one, two = np.flatnonzero(left), np.arange(len(x)) if within else np.flatnonzero(~left)
+        known = None
+        if within and not exact and len(x) > 1:
+            known = _walk(x, _graph(x, degree, alpha, pool), least, beam, slack)
+            if _recall(x, known, least) < recall:
+                known = None
+        others, partners, root = (np.zeros(len(x), dtype=np.int64) for _ in range(3))
+        root += np.arange(len(x))
+        for a in range(0, len(one), 512):
+            some = one[a : a + 512]
+            hits = known[some] if known is not None else x[some] @ x[two].T >= least
+            if within:
+                hits[np.arange(len(some)), some] = False
+            others[some] += hits @ weight[two]
+            partners[some] += hits.sum(axis=1)
+            if not within:
+                others[two] += weight[some] @ hits
+                partners[two] += hits.sum(axis=0)
+            for r in np.flatnonzero(hits.any(axis=1)).tolist():
+                tops = root[two[hits[r]]]
+                if (tops != root[some[r]]).any():
+                    tops = np.unique(np.append(tops, root[some[r]]))
+                    root[np.isin(root, tops)] = tops[0]
+        return pd.DataFrame({"rep": ids, "others": others, "partners": partners, "least": ids[root]})[within | (partners > 0)]
 
     return run
 
@@ -184,11 +224,11 @@ def _points(vectors: DataFrame) -> DataFrame:
 
 
 def linked(
-    vectors: DataFrame, *, least: float = 0.98, overlap: int = 3, shard: int = 1500, sample: int = 100_000,
+    vectors: DataFrame, *, least: float = 0.98, recall: float = 0.95, exact: bool = False, shard: int = 1500, sample: int = 100_000,
     degree: int = 24, alpha: float = 1.2, pool: int = 48, beam: int = 32, slack: float = 0.03,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per point (equal vectors): rep, others (vectors linked, its own copies not counted); and the links that
-    span the components: a, b."""
+    """Per point (equal vectors): rep, label, size, others (vectors linked, its own copies not counted), partners (points
+    linked); and the links that span the components: a, b.  ``exact`` compares shards in whole."""
     id_type, label_type = (vectors.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
     points = _points(vectors).where("vec_id is not null")
     points = durable(
@@ -200,54 +240,33 @@ def linked(
     for key, part in taken.groupby(["label", "size"], sort=True):
         k = max(1, min(math.ceil(counts.get(key, 1) / shard), len(part) // 8))
         centroids[key] = _centroids(_unit(part["embedding"]), k)
-    schema = f"rep {id_type}, label {label_type}, size int, n long, embedding array<double>, cluster long, home boolean"
-    member = durable(
-        points.select("rep", "label", "size", "n", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(_assign(centroids, overlap), schema)
+    schema = f"rep {id_type}, label {label_type}, size int, n long, embedding array<double>"
+    home = durable(
+        points.select("rep", "label", "size", "n", F.col("embedding").cast("array<double>").alias("embedding"), "h1")
+        .mapInPandas(_homes(centroids), f"{schema}, h1 long, cluster long")
     )
-    keys = ["label", "size", "cluster"]
-    lists = member.groupBy(*keys).applyInPandas(_build(degree, alpha, pool), f"rep {id_type}, neighbours array<{id_type}>")
-    union = lists.select("rep", F.explode("neighbours").alias("x")).groupBy("rep").agg(F.collect_set("x").alias("neighbours"))
-    graph = durable(member.select("rep", *keys).join(union, "rep"))
+    large = home.groupBy("label", "size", "cluster").count().where(F.col("count") > 2 * shard).collect()
+    splits = {(r["label"], r["size"], r["cluster"]): math.ceil(r["count"] / shard) for r in large}
+    cells = home.mapInPandas(_cells(centroids, splits, least), f"{schema}, u long, v long, unit long")
     found = durable(
-        member.groupBy(*keys).cogroup(graph.groupBy(*keys))
-        .applyInPandas(_search(least, beam, slack), f"rep {id_type}, others long, least {id_type}, root boolean")
+        cells.groupBy("label", "size", "u", "v").applyInPandas(
+            _links(least, recall, exact, degree, alpha, pool, beam, slack), f"rep {id_type}, others long, partners long, least {id_type}"
+        )
+    )
+    totals = found.groupBy("rep").agg(F.sum("others").alias("others"), F.sum("partners").alias("partners"))
+    return (
+        durable(home.select("rep", "label", "size").join(totals, "rep")),
+        found.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")),
     )
-    return found.where("root").select("rep", "others"), found.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-
-
-def audit(vectors: DataFrame, found: DataFrame, *, least: float = 0.98, queries: int = 200) -> float:
-    """Share of the links of ``queries`` vectors (smallest hash of vec_id) that ``found`` (vec_id, n_links) has."""
-    rows = _points(vectors).where("vec_id is not null")
-    asked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).select("vec_id", "label", "size", "embedding").toPandas()
-    if not len(asked):
-        return 1.0
-    by = {k: (p["vec_id"].tolist(), _unit(p["embedding"])) for k, p in asked.groupby(["label", "size"])}
-
-    def count(batches):
-        for part in batches:
-            for key, own in part.groupby(["label", "size"]):
-                if key in by:
-                    ids, x = by[key]
-                    n = (_unit(own["embedding"]) @ x.T >= least).sum(axis=0)
-                    yield pd.DataFrame({"vec_id": ids, "n": n})
-
-    id_type = vectors.schema["vec_id"].dataType.simpleString()
-    true = rows.select("label", "size", "embedding").mapInPandas(count, f"vec_id {id_type}, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
-    both = true.join(found, "vec_id").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.least("n", "n_links")), F.lit(0))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
 
 
-def near_duplicates(vectors: DataFrame, *, least: float = 0.98, recall: float = 0.95, overlap: int = 3, **options) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, least: float = 0.98, recall: float = 0.95, **options) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    for attempt in range(3):
-        out = _answer(vectors, least, overlap << attempt, options)
-        if attempt == 2 or audit(vectors, out, least=least) >= recall:
-            break
-    return out
+    points, links = linked(vectors, least=least, recall=recall, **options)
+    return _answer(vectors, points.select("rep", "others"), links)
 
 
-def _answer(vectors: DataFrame, least: float, overlap: int, options: dict) -> DataFrame:
-    points, links = linked(vectors, least=least, overlap=overlap, **options)
+def _answer(vectors: DataFrame, points: DataFrame, links: DataFrame) -> DataFrame:
     named = components(links)
     groups = _points(vectors).where("vec_id is not null").groupBy("label", "size", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     known = (
