@@ -50,6 +50,17 @@ def test_embedding_links_across_shards_are_whole_and_symmetric(spark):
     assert {r.rep: r.others for r in exact.collect()} == dict(enumerate(n.tolist()))
 
 
+def test_embedding_audit_counts_different_vectors_by_label(spark):
+    r = np.random.default_rng(2)
+    base = r.standard_normal((2, 16))
+    x = [(i, base[0], 0) for i in range(500)] + [(1000 + i, base[i % 2] + 0.01 * r.standard_normal(16), i % 2) for i in range(40)]
+    vectors = spark.createDataFrame([(i, [float(v) for v in e], y) for i, e, y in x], "vec_id long, embedding array<float>, label int")
+    points, _ = embedding_dedup.linked(vectors)
+    assert embedding_dedup.audit(vectors, points) == {(0, 16): 1.0, (1, 16): 1.0}
+    lost = points.withColumn("partners", F.when(F.col("label") == 0, F.lit(0)).otherwise(F.col("partners")))
+    assert embedding_dedup.audit(vectors, lost) == {(0, 16): 0.0, (1, 16): 1.0}
+
+
 def test_html_blocks_and_labels(spark):
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav><!-- x --><div class="ad">Buy   now.</div><article><h1>A &amp; B</h1><p>One <b>two</b>\n three<br>four<p>Five &#233; &lt;6<script>var a="</p>"</script></article><footer>&copy; x</footer>'
     texts = [t for _, t, _ in html_extract.blocks_of(page)]

@@ -13,6 +13,10 @@ Links between shards are exact: a vector can only link into a shard that begins
 range's chord of it (its distance to the plane between both centroids), so the vectors of
 two shards near their common border are compared in blocks, each pair once for both.
 
+:func:`audit` measures recall by label against brute force, on different vectors alone (equal
+ones are found without a search); :func:`near_duplicates` compares labels that fall short
+in whole.
+
 Equal vectors are one point that carries their number.  Rows link only within a label;
 rows whose label is null or whose vector is null, empty, zero, or holds null, NaN or
 infinite components link with nothing (0 links, kept, their own component).  A null
@@ -260,9 +264,45 @@ def linked(
     )
 
 
+def audit(vectors: DataFrame, found: DataFrame, *, least: float = 0.98, queries: int = 200) -> dict[tuple, float]:
+    """Mean recall of the audited points of each label and size, against brute force over different vectors.
+
+    found: rep, label, size, partners.  Asked are ``queries`` points with the smallest hash of rep, as many with the most partners, and
+    one of each of the 1000 largest labels; points without a link say nothing."""
+    largest = found.groupBy("label", "size").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("rep")).orderBy(F.desc("n")).limit(1000)
+    asked = F.broadcast(durable(
+        found.orderBy(F.xxhash64("rep"), "rep").limit(queries).select("rep")
+        .unionByName(found.orderBy(F.desc("partners"), F.xxhash64("rep")).limit(queries).select("rep")).unionByName(largest.select("rep")).distinct()
+    ))
+    rows = _points(vectors).where("vec_id is not null").groupBy("label", "size", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"))
+    rows = durable(rows.select("rep", "label", "size", "embedding"))
+    sent = rows.join(asked, "rep").toPandas()
+    if not len(sent):
+        return {}
+    by = {k: (p["rep"].tolist(), _unit(p["embedding"])) for k, p in sent.groupby(["label", "size"])}
+
+    def count(batches):
+        for part in batches:
+            for key, own in part.groupby(["label", "size"]):
+                if key in by:
+                    ids, x = by[key]
+                    n = (_unit(own["embedding"]) @ x.T >= least).sum(axis=0)
+                    yield pd.DataFrame({"rep": ids, "n": n})
+
+    id_type = vectors.schema["vec_id"].dataType.simpleString()
+    true = rows.select("label", "size", "embedding").mapInPandas(count, f"rep {id_type}, n long").groupBy("rep").agg((F.sum("n") - 1).alias("n"))
+    share = true.where("n > 0").join(found, "rep").groupBy("label", "size").agg(F.avg(F.least("n", "partners") / F.col("n")).alias("recall"))
+    return {(r["label"], r["size"]): r["recall"] for r in share.collect()}
+
+
 def near_duplicates(vectors: DataFrame, *, least: float = 0.98, recall: float = 0.95, **options) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     points, links = linked(vectors, least=least, recall=recall, **options)
+    short = sorted({label for (label, _), r in audit(vectors, points, least=least).items() if r < recall})
+    if short:
+        again, more = linked(vectors.where(F.col("label").isin(short)), least=least, recall=recall, **{**options, "exact": True})
+        points = points.where(~F.col("label").isin(short)).unionByName(again)
+        links = links.unionByName(more)
     return _answer(vectors, points.select("rep", "others"), links)
 
 
