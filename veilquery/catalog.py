@@ -265,8 +265,16 @@ def tumbling_window_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_hits(rows, "ts", 60, "event_type", ["click", "error"], where=Fields(rows.schema)["value"] > 10)
 
 
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    return plain.merged(*(plain.answer(orders.where(F.col("o_orderkey") % 2 == k), ORDERS, WANTED) for k in (0, 1)))
+
+
 @_query("response_merge", f"select o_orderpriority as selector, count(*) as n_hits from orders where o_orderpriority in {_WANTED_SQL} group by 1")
 def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
-    parts = [plain.answer(orders.where(F.col("o_orderkey") % 2 == k), ORDERS, WANTED) for k in (0, 1)]
-    return plain.merged(*parts)
+    return _merged(spark, sf_dir).select("selector", "n_hits").distinct()
+
+
+@_query("response_merge_hits", f"select {_ORDER_COLUMNS}, count(*) over (partition by o_orderpriority) as n_hits from orders where o_orderpriority in {_WANTED_SQL}")
+def response_merge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)

@@ -59,8 +59,9 @@ def hit_counts(source: DataFrame, schema: QuerySchema, selectors: list[str], **o
 
 
 def merged(*answers: DataFrame) -> DataFrame:
-    """Answers of one query united by selector: their hits as one list each, and the count."""
+    """Answers of one query united: every hit with all its fields, and the number of hits of its selector (n_hits).
+    The count is joined on, so that a selector with many hits is no group of its own."""
     rows = answers[0]
     for other in answers[1:]:
         rows = rows.unionByName(other)
-    return rows.groupBy("selector").agg(F.count("*").alias("n_hits"))
+    return rows.join(F.broadcast(rows.groupBy("selector").agg(F.count("*").alias("n_hits"))), "selector")
