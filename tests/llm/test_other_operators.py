@@ -61,6 +61,21 @@ def test_embedding_audit_counts_different_vectors_by_label(spark):
     assert embedding_dedup.audit(vectors, lost) == {(0, 16): 0.0, (1, 16): 1.0}
 
 
+def test_html_raw_text_ends_at_its_end_tag():
+    def texts(page):
+        return [t for _, t, _ in html_extract.blocks_of(page)]
+
+    assert texts("<script>for(i=0;i<n;i++){x()}</script><p>Hello</p>") == ["Hello"]
+    assert texts("<p>One</p><SCRIPT>if(a<b)s='<!--</scripty>'</Script ><p>Two<style>a<b{}</style> three</p>") == ["One", "Two three"]
+    assert texts("<title>a<b</title><svg><script>i<n</script></svg><p>Hello</p><script>cut<short") == ["Hello"]
+    assert texts("<textarea>a < b <i</textarea><p>Hello</p>") == ["a < b <i", "Hello"]
+
+
+def test_html_path_counts_every_ancestor():
+    path = ("div", "div", "div", "div", "div", "div", "div", "div", "div", "p")
+    assert (html_extract._path_vector(("section comments", *path)) != html_extract._path_vector(("section article", *path))).any()
+
+
 def test_html_blocks_and_labels(spark):
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav><!-- x --><div class="ad">Buy   now.</div><article><h1>A &amp; B</h1><p>One <b>two</b>\n three<br>four<p>Five &#233; &lt;6<script>var a="</p>"</script></article><footer>&copy; x</footer>'
     texts = [t for _, t, _ in html_extract.blocks_of(page)]

@@ -7,7 +7,8 @@ the whole page and labels each as main text or not, so a block is judged with ev
 before and after it in view.  The labeller is trained here, from a fixed seed, on
 generated pages of many layouts (:func:`training_pages`); no page of the input is used.
 
-Scripts, styles, comments and the head are never text.  White space inside a block becomes
+Scripts, styles, comments and the head are never text; what stands inside a script or another
+raw-text element is no markup and ends at its literal end tag.  White space inside a block becomes
 one space; character references are decoded.  Null or empty html gives an empty text; a
 page cut short keeps what it has; very long pages are read whole.  Repeated rows are
 answered one by one.  An empty table gives an empty result.  Extra columns are ignored.
@@ -30,6 +31,9 @@ from veilquery.llm._common import ALNUM_LOWER, words_of
 
 #: Fixed by HTML: elements that hold no text, that are not closed, and that break a line of text.
 _HIDDEN = {"script", "style", "head", "title", "template", "noscript", "svg", "iframe", "object", "math", "canvas", "audio", "video"}
+#: Elements whose content is no markup: it ends at their literal end tag.
+_RAW = {"script", "style", "title", "iframe", "textarea", "xmp"}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
@@ -71,11 +75,17 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             links -= name == "a"
         del stack[depth:]
 
-    for m in _TOKEN.finditer(page):
+    m = _TOKEN.search(page)
+    while m:
         start, end = m.span()
         name = (m[2] or "").lower()
+        after = end
+        if name in _RAW and not m[1] and not m[3].rstrip().endswith("/"):
+            closing = _RAW_END[name].search(page, end)
+            after = closing.start() if closing else len(page)
+        token, m = m, _TOKEN.search(page, after)
         if skip is not None:
-            if m[1] and name == skip:
+            if token[1] and name == skip:
                 skip = None
                 at = end
             continue
@@ -87,7 +97,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         at = end
         if not name:
             continue
-        if m[1]:
+        if token[1]:
             if name in _BLOCK:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
@@ -95,7 +105,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                     close(k)
                     break
             continue
-        if name in _HIDDEN and not m[3].rstrip().endswith("/"):
+        if name in _HIDDEN and not token[3].rstrip().endswith("/"):
             if name != "head":
                 skip = name
             continue
@@ -114,7 +124,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if name not in _VOID:
             shown = ""
             if name in _BLOCK and name not in ("html", "body"):
-                marks = " ".join(x for found in _NAMED.findall(m[3]) for x in found if x).lower() if m[3] else ""
+                marks = " ".join(x for found in _NAMED.findall(token[3]) for x in found if x).lower() if token[3] else ""
                 shown = f"{name} {marks}".strip()
             stack.append((name, shown))
             links += name == "a"
@@ -127,12 +137,12 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
 @lru_cache(maxsize=20_000)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(_PATH, dtype=np.float32)
-    for depth, element in enumerate(path[-8:]):
+    for depth, element in enumerate(path):
         for k, token in enumerate(re.findall(r"[a-z0-9]+", element)):
             # an element's name and its marks are different features; the innermost element counts apart
             kind = "n" if k == 0 else "m"
             v[zlib.crc32(f"{kind}{token}".encode()) % (_PATH - 16)] = 1
-            if depth == len(path[-8:]) - 1 and k == 0:
+            if depth == len(path) - 1 and k == 0:
                 v[_PATH - 16 + zlib.crc32(token.encode()) % 16] = 1
     return v
 
