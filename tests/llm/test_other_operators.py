@@ -182,3 +182,19 @@ def test_pipeline_stages_take_effect(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, before, d)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in before.select("doc_id").collect()}
     assert 0 < before.count() < docs.count()
+
+
+def test_assigned_secrets_of_any_length_and_characters(spark):
+    texts = {
+        'x\npassword = "Tr0ub4dor"\n': "Tr0ub4dor", "secret=p@ss!w0rd#9%x next": "p@ss!w0rd#9%x", "set secret=739201748 now": "739201748",
+        "the secret: qzxvkwpjrt\n": "qzxvkwpjrt", "{'db_password': 'a b$c.9X:'}": "a b$c.9X:", "Authorization: Bearer x7Kq2": "x7Kq2",
+        "token=abcdef1234567890XY": "abcdef1234567890XY",
+    }
+    docs = spark.createDataFrame([(i, t, "app/config.yaml") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.start, r.candidate) for r in secret_scan.candidates(docs).collect()}
+    for i, (text, value) in enumerate(texts.items()):
+        assert (i, text.index(value), value) in found
+    scored = {(r.doc_id, r.start): r.is_secret for r in secret_scan.scan(docs).collect()}
+    assert all(scored[i, t.index(v)] for i, (t, v) in enumerate(texts.items()) if i < 4)
+    harmless = spark.createDataFrame([(0, "password: required\ntoken = None\nsecret: ${DB_SECRET}", "docs/readme.md")], "doc_id long, text string, source string")
+    assert not any(r.is_secret for r in secret_scan.scan(harmless).collect())

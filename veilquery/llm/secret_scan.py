@@ -1,7 +1,9 @@
 """Secret scanning: broad candidates, and a random forest that removes false positives.
 
 Candidates are runs of sixteen or more key characters that mix digits and letters, or
-lower and upper case inside the run.  The forest sees their length, the transitions
+lower and upper case inside the run, and the values assigned after a secret-like word
+(quoted, or up to white space; any length and characters).  Where a value and a run
+differ, both are candidates.  The forest sees their length, the transitions
 between kinds of characters and how many are common letter pairs, the share covered by
 dictionary words, the path (here: the document's source) and the neighbouring words.  It
 is trained by Spark ML on labelled findings (:func:`labelled_findings`: a table with
@@ -25,6 +27,14 @@ from pyspark.sql import functions as F
 from veilquery.llm._common import durable
 
 _RUN = r"[A-Za-z0-9+/=_\-]{16,}"
+#: Where an assigned value begins: after a secret-like word, the rest of its name, a closing quote, = or :, and a scheme.
+_NAME = r"(?i:passphrase|passwd|password|passw|pwd|secret|token|api.?key|access.?key|private.?key|client.?key|auth|authorization|credentials?)[\w.\-]{0,20}[\"']?\]?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}"
+_SCHEME = r"(?i:(?:bearer|basic)[ \t]{1,4})?"
+_AFTER = lambda quote: rf"(?<=[=:>\s]{quote})(?<={_NAME}{_SCHEME}{quote})"
+_ASSIGNED = (
+    rf"""{_AFTER('"')}[^"\r\n]+(?=")|{_AFTER("'")}[^'\r\n]+(?=')|{_AFTER("[\"']")}[^\s"']+"""
+    rf"""|{_AFTER("")}(?!(?i:bearer|basic)[ \t]|=>|[=:>][\s"'])[^\s"'](?:\S*[^\s"',;.)\]}}>])?"""
+)
 #: Words that stand before keys, and before harmless long values.
 _NEAR_SECRET = r"(?i)(token|secret|passw|passwd|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private|client.?key)"
 _NEAR_HARMLESS = r"(?i)(commit|sha-?\d*|checksum|digest|hash|uuid|guid|md5|integrity|revision|etag|version|build|id|ref|see|file|page|url|trace|example|sample|dummy)\W*$"
@@ -42,7 +52,7 @@ _PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt n
 
 FEATURES = [
     f"f_{name}" for name in "length letters_digits lower_upper repeats pairs dictionary distinct digits upper symbols hex uuid "
-    "before_secret before_harmless assigned quoted path_secret path_harmless prefix".split()
+    "before_secret before_harmless assigned quoted path_secret path_harmless prefix punctuation".split()
 ]
 
 
@@ -61,6 +71,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         flag(F.substring(before, -30, 30).rlike(_NEAR_SECRET)), flag(F.regexp_replace(F.substring(before, -30, 30), r"[=:\"'\s]+$", "").rlike(_NEAR_HARMLESS)),
         flag(before.rlike(r"[=:]\s*[\"']?$")), flag(before.rlike(r"[\"']$") & after.rlike(r"^[\"']")),
         flag(path.rlike(_PLACE_SECRET)), flag(path.rlike(_PLACE_HARMLESS)), flag(candidate.rlike(r"^(AKIA|ASIA|ghp_|gho_|sk_|sk-|pk_|xox|eyJ|glpat|npm_)")),
+        share(r"[^A-Za-z0-9+/=_\-]"),
     ]
     return [v.cast("double").alias(n) for v, n in zip(values, FEATURES, strict=True)]
 
@@ -95,6 +106,14 @@ def labelled_findings(spark: SparkSession, rows: int = 8000, seed: int = 5) -> D
         (F.repeat(pick(21, ["xX", "0a", "A1", "x0x", "12ab"]), 10), 0, False), (F.concat(F.lit("2024"), chars(22, digits, F.lit(12)), F.lit("a")), 0, True),
         (F.concat(joined(80, "", 3, ["tion", "ver", "eaux", "ment", "heit", "schen", "ble", "ing"]), chars(23, digits, F.lit(2)), joined(90, "", 2, ["tion", "ver", "eaux"])), 0, True),
         (F.concat(joined(100, "-", 3, _WORDS), F.lit("-"), chars(24, digits, F.lit(3))), 0, True),
+        # assigned values: short, with punctuation, of one kind of character; and what else stands after such words
+        (chars(110, mixed, F.floor(draw(111) * 9) + 6), 1, False), (chars(112, mixed + "!@#$%^&*.:,?", F.floor(draw(113) * 18) + 7), 1, False),
+        (chars(114, digits, F.floor(draw(115) * 10) + 6), 1, False), (chars(116, lower, F.floor(draw(117) * 12) + 8), 1, False),
+        (F.concat(pick(118, capital), chars(119, digits, F.lit(3)), pick(120, ["!", "#", "$", "", "."])), 1, False),
+        (pick(121, [*_WORDS, *capital]), 0, False), (joined(122, " ", 3, _WORDS), 0, False), (joined(130, ".", 2, _WORDS), 0, False), (joined(134, "_", 2, _WORDS), 0, False),
+        (pick(140, ["None", "null", "true", "false", "required", "optional", "string", "str", "0", "1", "the", "a", "********", "xxxxxxxx", "...", "<password>", "<secret>"]), 0, False),
+        (F.concat(pick(141, ["${", "{{", "$(", "<", "%"]), F.upper(joined(142, "_", 2, _WORDS)), pick(145, ["}", "}}", ")", ">", "%"])), 0, False),
+        (F.concat(pick(146, ["os.environ[", "getenv(", "config.get(", "self.", "request."]), joined(147, "_", 2, _WORDS)), 0, False),
     ]
     secret = pick(30, ['token = "', "api_key: ", 'API_KEY="', "password=", 'secret = "', "Authorization: Bearer ", "access_key = '", 'TOKEN = "', "auth_token: "])
     harmless = pick(31, ["commit ", "sha256:", 'checksum = "', "see file ", "uuid=", 'id: "', "the page ", "digest: ", "revision ", "http://x.example/", " and the ", "etag: "])
@@ -120,12 +139,12 @@ def trained(findings: DataFrame, *, trees: int = 24, depth: int = 8, seed: int =
     return PipelineModel([gather, forest.fit(gather.transform(table))])
 
 
-def candidates(docs: DataFrame, *, text: str = "text", path: str = "source") -> DataFrame:
-    """doc_id, start (characters before it), candidate, before, after, path."""
+def _matches(docs: DataFrame, pattern: str, text: str, path: str) -> DataFrame:
+    """doc_id, start (characters before it), candidate, before, after, path of each match."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.where(body.rlike(_RUN)).select(
+    found = docs.where(body.rlike(pattern)).select(
         "doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
-        F.regexp_extract_all(body, F.lit(f"({_RUN})"), F.lit(1)).alias("runs"), F.split(body, _RUN, -1).alias("gaps"),
+        F.regexp_extract_all(body, F.lit(f"({pattern})"), F.lit(1)).alias("runs"), F.split(body, pattern, -1).alias("gaps"),
     )
     cells = F.aggregate(
         F.sequence(F.lit(0), F.size("runs") - 1),
@@ -139,7 +158,18 @@ def candidates(docs: DataFrame, *, text: str = "text", path: str = "source") ->
     return found.select("doc_id", "path", "runs", "gaps", F.posexplode(cells).alias("k", "start")).select(
         "doc_id", "start", F.get("runs", F.col("k")).alias("candidate"), F.substring(F.get("gaps", F.col("k")), -60, 60).alias("before"),
         F.substring(F.get("gaps", F.col("k") + 1), 1, 20).alias("after"), "path",
-    ).where(F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]") | F.col("candidate").rlike("[a-z][A-Z]"))
+    )
+
+
+def candidates(docs: DataFrame, *, text: str = "text", path: str = "source") -> DataFrame:
+    """doc_id, start (characters before it), candidate, before, after, path."""
+    c = F.col("candidate")
+    mixes = c.rlike("[0-9]") & c.rlike("[A-Za-z]") | c.rlike("[a-z][A-Z]")
+    # a value that is a whole run is found as that run, unless its name runs into it
+    apart = ~(c.rlike(f"^{_RUN}$") & mixes & ~F.col("before").rlike(r"[A-Za-z0-9+/=_\-]$") & ~F.col("after").rlike(r"^[A-Za-z0-9+/=_\-]"))
+    # the name alone is a far cheaper search than the value behind it
+    named = docs.where(F.coalesce(F.col(text), F.lit("")).rlike(_NAME))
+    return _matches(docs, _RUN, text, path).where(mixes).unionByName(_matches(named, _ASSIGNED, text, path).where(apart))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, *, text: str = "text", path: str = "source") -> DataFrame:
