@@ -59,9 +59,23 @@ def test_substring_dedup(docs):
         assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
 
 
-@pytest.mark.parametrize(("size", "share", "frequent"), [(4, 85, 0.0002), (2, 60, 0.0002), (5, 80, 0.02)])
-def test_jaccard_join(docs, size, share, frequent):
-    rows = corpus()
+def near_copies(n=90):
+    """A large group whose members differ from each other by more or less than the bound, around one text with copies."""
+    r = np.random.default_rng(8)
+    base = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for k in r.choice(len(words), r.integers(0, 5), replace=False):
+            words[k] = f"x{r.integers(40)}"
+        rows.append((1000 + i, " ".join(words), "s", "clash", 7))
+    return rows
+
+
+@pytest.mark.parametrize(("size", "share", "options"), [(4, 85, {}), (2, 60, {"rare": 3}), (5, 80, {"rare": 1}), (4, 85, {"rare": 4, "most_compared": 50})])
+def test_jaccard_join(spark, size, share, options):
+    rows = corpus() + near_copies()
+    docs = spark.createDataFrame(rows, KIND).repartition(3)
     sets = {}
     for i, t, *_ in rows:
         w = spaced((t or "").translate(LOWER))
@@ -79,11 +93,11 @@ def test_jaccard_join(docs, size, share, frequent):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = jaccard_join.near_duplicates(docs, size=size, share=share, frequent=frequent).collect()
+    got = jaccard_join.near_duplicates(docs, size=size, share=share, **options).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.n_shingles == len(sets[r.doc_id]) and r.component_id == (None if r.doc_id is None else find(r.doc_id))
-    kept = jaccard_join.one_of_each_group(docs, size=size, share=share, frequent=frequent)
+    kept = jaccard_join.one_of_each_group(docs, size=size, share=share, **options)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(i for i in ids if find(i) == i)
 
@@ -97,7 +111,22 @@ def test_pair_keys_cover_similar_sets():
         y = np.unique(np.concatenate([x[r.permutation(len(x))[drop:]], r.integers(0, 1 << 63, drop).astype(np.uint64)]))
         if 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)):
             hot = np.sort(r.permutation(np.union1d(x, y))[: int(r.integers(0, len(x) + 1))])
-            assert len(np.intersect1d(jaccard_join.signatures(x, hot, 85)[0], jaccard_join.signatures(y, hot, 85)[0]))
+            often = [np.intersect1d(s, hot) for s in (x, y)]
+            lacking = [len(s) - len(o) < jaccard_join.prefix_need(len(s), 85) for s, o in zip((x, y), often, strict=True)]
+            rare = [np.setdiff1d(s, hot)[: jaccard_join.prefix_need(len(s), 85)] for s in (x, y)]
+            found = len(np.intersect1d(*rare)) > 0
+            if all(lacking):
+                found |= len(np.intersect1d(*(jaccard_join.pair_signature(len(s), o, 85) for s, o in zip((x, y), often, strict=True)))) > 0
+            assert found
+
+
+def test_odd_sketches_never_exceed_the_difference():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        both, one, two = (r.integers(0, 1 << 63, r.integers(0, 400)).astype(np.uint64) for _ in range(3))
+        x, y = np.unique(np.concatenate([both, one])), np.unique(np.concatenate([both, two]))
+        bits = sum(int(a ^ b).bit_count() for a, b in zip(*(jaccard_join.odd_sketch(s).view(np.uint64).tolist() for s in (x, y)), strict=True))
+        assert bits <= len(np.setxor1d(x, y))
 
 
 def test_decontamination(spark, docs):

@@ -3,6 +3,7 @@ durable cuts of lineage, and connected components as joins."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,33 +17,40 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _SLICE_BYTES = 1 << 19
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names.
-
-    ``spark.checkpoint.dir`` is taken from the session; a folder of our own is
-    set only where none is named (tests, a laptop)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir`` of the session.  One of our own is set only where
+    none is named and everything runs in one process (tests, a laptop); on a cluster it has to be named."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilquery-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in :func:`shared_folder`."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of :func:`durable` tables that nothing reads any more."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sent_if_small(keys: DataFrame, *, rows: int = 1_000_000) -> DataFrame:
     """A key table, with the wish to broadcast it when a count shows at most ``rows`` of its rows;
     otherwise Spark joins it by shuffling both sides."""
     return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; see :func:`durable`."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilquery-checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit depends on every bit."""
     with np.errstate(over="ignore"):
@@ -189,7 +197,8 @@ def components(links: DataFrame, *, rounds: int = 40) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = durable(small)
+        before, edges = edges, durable(small)
+        release(before)
         seen = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0)), F.countDistinct("u")).first()
         if tuple(seen) == mark and seen[0] == seen[2]:
             break

@@ -1,27 +1,34 @@
 """Near-duplicates by word n-gram Jaccard similarity, with token-combination prefixes.
 
-A document is its set of distinct word n-grams (64-bit hashes), ordered the same way
-everywhere: tokens of the rare class by hash, then those of the frequent class by
-hash.  A partner may lack at most M of a document's tokens, so it shares one of any
-M + 1.  The prefix is extended until its rare tokens, and its frequent tokens less one
-in each cell of the hash space, come to M + 1: two similar sets then share a rare
-token or two frequent tokens of one cell.  Rare tokens are indexed alone, frequent
-ones as pairs within a cell; cells depend on the size of the sets, and a set near a
-boundary is indexed for the sizes on both sides.
-
-Frequent tokens are those of at least ``frequent`` of the documents.  They are counted
-over all documents, batch by batch; there are at most (mean set size / frequent) of
-them however large the corpus is, which bounds what is broadcast.
-
-Equal sets are one representative (the smallest doc_id).  Within a bucket of the index
-members are first verified against two leaders only; components are taken; then
-members are verified against exactly those members of their buckets that are in other
-components, so a large group of copies is never expanded into its pairs and no link
-between components is missed.  Verification intersects whole sets.
+A document is its set of distinct word n-grams (64-bit hashes).  Tokens fall into classes by
+document frequency, with an absolute bound (``rare`` documents), so that no bucket of the
+index grows with the corpus unless its documents are mostly made of frequent tokens:
+
+1. *Single tokens, prefix of all sets.*  Every set's prefix by hash, a quarter longer than
+   the one that must hold a common token of similar sets, is indexed by single tokens.  A
+   token in more than ``rare`` prefixes is frequent and no key.  Two similar sets whose
+   prefixes of length (tokens that may be missing + k) share k tokens at least share a rare
+   one unless both have k frequent tokens there; sets with so many are *hard*.
+2. *Single tokens, whole hard sets.*  Among the hard sets frequencies are counted anew over
+   all their tokens, rare tokens come first, and prefixes of rare tokens are indexed.
+3. *Pairs of frequent tokens.*  What still lacks rare tokens (nearly all of its tokens are
+   frequent: large groups of near copies) extends its prefix over frequent tokens, less one in
+   each cell of the hash space: two similar sets then share two frequent tokens of one cell.
+   Members of a bucket are verified against two leaders only; members of a cluster of
+   connected buckets that are then in different components are compared by sketches.
+
+Candidates are refuted by their sizes, by the number of rare tokens that their prefixes must
+share, and by odd sketches (the parity of the tokens in each of 512 cells; the sets differ in
+at least as many tokens as the sketches in bits).  What remains is verified on whole sets.
+No step drops a pair that is similar.
+
+Equal sets are one representative (the smallest doc_id), so a large group of copies is never
+expanded into pairs.  A cluster's comparison is dealt in parts of at most ``most_compared``
+sketch pairs.
 
 Null, empty or word-less text: an empty set, linked with nothing.  A row whose doc_id is
 null links with nothing and gets a null component.  Repeated rows are equal sets.  Only
-doc_id and text are read.
+doc_id and text are read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.llm._common import SPACED_LOWER, components, durable, mix, powers, sent_if_small, text_slices, words_of
+from veilquery.llm._common import SPACED_LOWER, components, durable, mix, powers, release, sent_if_small, text_slices, words_of
+
+_SKETCH = [f"o{i}" for i in range(8)]
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -52,89 +61,99 @@ def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + k, whole
 
 
-def _profile(size: int, frequent: float):
-    """For each document its set's size and digest; for each batch the tokens many of its documents have."""
+def odd_sketch(tokens: np.ndarray) -> np.ndarray:
+    """512 bits: whether each cell of the hash space holds an odd number of tokens."""
+    cells = (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _profile(size: int):
+    """For each document its set's size, digest and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
-            n = np.zeros(rows, dtype=np.int64)
+            n = np.zeros(rows, dtype=np.int32)
             digest = np.zeros((2, rows), dtype=np.uint64)
-            held = []
+            sketch = np.zeros((rows, 8), dtype=np.int64)
             with np.errstate(over="ignore"):
                 for k, tokens in _sets(batch.column(1), size):
                     n[k] = len(tokens)
                     digest[0, k] = np.sum(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)
                     digest[1, k] = np.sum(mix(tokens + np.uint64(0x14057B7EF767814F)), dtype=np.uint64)
-                    held.append(tokens)
-            names = ["doc_id", "n", "d1", "d2", "token", "seen", "docs"]
-            none = pa.nulls(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), none, none, pa.array(np.zeros(rows, np.int64))], names
-            )
-            tokens, seen = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = seen >= max(3, frequent * rows / 2)
-            tokens, seen = tokens[often].view(np.int64), seen[often]
-            count = np.zeros(len(tokens) + 1, np.int64)
-            count[0] = rows
-            none = pa.nulls(len(count), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(count), batch.schema.field(0).type), none, none, none, pa.array([None, *tokens.tolist()], pa.int64()), pa.array([None, *seen.tolist()], pa.int64()), pa.array(count)], names
-            )
+                    sketch[k] = odd_sketch(tokens)
+            columns = [batch.column(0), pa.array(n), *(pa.array(d.view(np.int64)) for d in digest), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(8))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", *_SKETCH])
+
+    return run
+
+
+def prefix_need(n, share: int):
+    """Tokens of a set of n of which a similar set has one at least (columns and whole numbers alike)."""
+    return n - _div(share * n + 99, 100) + 1
+
+
+def prefix_length(n, share: int):
+    """The indexed prefix: a quarter longer, so that frequent tokens need not stand for rare ones."""
+    longer = _div(5 * prefix_need(n, share) + 3, 4) + 1
+    return F.least(n, longer) if isinstance(n, Column) else min(n, longer)
+
+
+def _div(a, b: int):
+    return F.call_function("div", a, F.lit(b)).cast("int") if isinstance(a, Column) else a // b
+
+
+def _tokens(size: int, share: int, whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, counts = [], [], []
+            for k, tokens in _sets(batch.column(1), size):
+                keys.append(tokens if whole else tokens[: prefix_length(len(tokens), share)])
+                rows.append(k)
+                counts.append(len(keys[-1]))
+            if keys:
+                ids = batch.column(0).take(pa.array(np.repeat(rows, counts)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids], ["token", "doc_id"])
 
     return run
 
 
-def _pair_keys(cell_bits: int, level: int, hot: np.ndarray, missing: int) -> np.ndarray:
+def _pair_keys(cell_bits: int, level: int, often: np.ndarray, missing: int) -> np.ndarray:
     """Pairs of frequent tokens in one cell, of the shortest run of tokens that makes up for ``missing`` rare ones."""
-    cell = hot >> np.uint64(64 - cell_bits) if cell_bits else np.zeros(len(hot), dtype=np.uint64)
-    later = np.zeros(len(hot), dtype=np.int64)
+    cell = often >> np.uint64(64 - cell_bits) if cell_bits else np.zeros(len(often), dtype=np.uint64)
+    later = np.zeros(len(often), dtype=np.int64)
     later[1:] = cell[1:] == cell[:-1]
     enough = np.searchsorted(np.cumsum(later), missing) + 1
-    hot, cell = hot[:enough], cell[:enough]
+    often, cell = often[:enough], cell[:enough]
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     out = []
     with np.errstate(over="ignore"):
-        for a, b in zip(starts, [*starts[1:], len(hot)], strict=True):
+        for a, b in zip(starts, [*starts[1:], len(often)], strict=True):
             i, j = np.triu_indices(b - a, 1)
-            out.append(mix(hot[a + i] * np.uint64(3) + mix(hot[a + j]) + np.uint64(level)))
+            out.append(mix(often[a + i] * np.uint64(3) + mix(often[a + j]) + np.uint64(level)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def signatures(tokens: np.ndarray, hot: np.ndarray, share: int) -> tuple[np.ndarray, bool, int]:
-    """Index keys of one set (sorted hashes), whether all are rare tokens, and how many are; hot: sorted frequent tokens."""
-    n = len(tokens)
-    need = n - (share * n + 99) // 100 + 1
-    if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
-        rare, often = tokens[~is_hot][:need], tokens[is_hot]
-    else:
-        rare, often = tokens[:need], tokens[:0]
-    keys = [rare]
-    if len(rare) < need and len(often):
-        low, high = ((share * n + 99) // 100).bit_length() - 1, (n * 100 // share).bit_length() - 1
-        keys += [_pair_keys(max(0, level - 2), level, often, need - len(rare)) for level in range(low, high + 1)]
-    return np.concatenate(keys), len(rare) == need, len(rare)
+def pair_signature(n: int, often: np.ndarray, share: int) -> np.ndarray:
+    """Index keys of a set of n tokens of which those in ``often`` (sorted) are frequent and too few are rare.
+    Cells depend on the size of the sets; a set near a boundary is indexed for the sizes on both sides."""
+    missing = prefix_need(n, share) - (n - len(often))
+    if missing <= 0 or not len(often):
+        return np.empty(0, np.uint64)
+    low, high = ((share * n + 99) // 100).bit_length() - 1, (n * 100 // share).bit_length() - 1
+    return np.concatenate([_pair_keys(max(0, level - 2), level, often, missing) for level in range(low, high + 1)])
 
 
-def _index(size: int, share: int, hot):
+def _paired(share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = hot.value
         for batch in batches:
-            keys, rows, sizes, plain, places = [], [], [], [], []
-            for k, tokens in _sets(batch.column(1), size):
-                own, single, n_rare = signatures(tokens, often, share)
+            keys, rows = [], []
+            for k, (n, often) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                own = pair_signature(n, np.sort(often.values.to_numpy(zero_copy_only=False).view(np.uint64)), share)
                 keys.append(own)
                 rows.append(np.full(len(own), k))
-                sizes.append(np.full(len(own), len(tokens)))
-                plain.append(np.full(len(own), single))
-                # tokens of the prefix before each key: a pair of frequent tokens stands after all rare ones
-                places.append(np.minimum(np.arange(len(own), dtype=np.int32), n_rare).astype(np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(plain)), pa.array(np.concatenate(places))],
-                    ["key", "doc_id", "n", "single", "place"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows)))], ["key", "doc_id"])
 
     return run
 
@@ -165,88 +184,153 @@ def _similar(share: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, frequent: float = 0.0002) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of
-    Jaccard similarity >= share / 100, itself included)."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    seen = durable(docs.mapInArrow(_profile(size, frequent), f"doc_id {id_type}, n long, d1 long, d2 long, token long, seen long, docs long"))
-    profile = seen.where("n is not null").select("doc_id", "n", "d1", "d2")
-    total = seen.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-    often = seen.where("token is not null").groupBy("token").agg(F.sum("seen").alias("s")).where(F.col("s") >= max(8, frequent * total))
-    hot = np.sort(np.array([r[0] for r in often.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
-    texts = docs.where("doc_id is not null and text is not null")
-    entries = texts.mapInArrow(_index(size, share, spark.sparkContext.broadcast(hot)), f"key long, doc_id {id_type}, n int, single boolean, place int")
-    shared = entries.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    first = profile.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = durable(first)
-    entries = durable(
-        entries.join(shared, "key", "left_semi").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    )
-    overlap = lambda m, n: F.ceil(share * (m + n) / F.lit(100 + share) - F.lit(1e-9))
-    # the first token that two sets share stands after at most n - (least overlap) tokens of either; if they share
-    # no rare token, all rare tokens of either are such
-    early = lambda n, place, m: place <= n - overlap(n, m)
-    # of each bucket one member at random leads, and one that is likely the centre of a group of copies: a set of
-    # frequent tokens with the fewest tokens of its own, or else the smallest doc_id
-    centre = F.struct(F.when(F.col("single"), F.lit(1 << 30)).otherwise(F.col("place")).alias("o"), F.when(F.col("single"), 0).otherwise(-F.col("n")).alias("m"), "doc_id", "n", "single")
-    leaders = (
-        entries.groupBy("key").agg(
-            F.min(centre).alias("l1"),
-            F.min(F.struct(F.xxhash64("doc_id", "key").alias("r"), "doc_id", "n", "single")).alias("l2"), F.count("*").alias("c"),
-        ).where("c > 1")
-    )
-    fits = lambda m, n: (100 * F.least(m, n) >= share * F.greatest(m, n))
-    led = entries.join(leaders, "key").select("doc_id", "n", "single", "place", F.explode(F.array(F.struct("l1.doc_id", "l1.n", "l1.single"), F.struct("l2.doc_id", "l2.n", "l2.single"))).alias("l"))
-    star = durable(
-        led.where((F.col("doc_id") != F.col("l.doc_id")) & fits(F.col("n"), F.col("l.n")) & early(F.col("n"), F.col("place"), F.col("l.n")))
-        .select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b"), (F.col("single") | F.col("l.single")).alias("counted"))
-        .distinct()
-    )
+class _Join:
+    """One run: the tables that its steps share."""
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar.  Of a document's single-token prefix at most n - (least overlap) tokens
-        can be missing from a partner, so most pairs fall to a count of their common keys before any set is read."""
-        side = lambda k: entries.select(F.col("doc_id").alias(k), "key", F.col("n").alias(f"n{k}"), F.col("single").alias(f"s{k}"))
-        least = overlap(F.col("na"), F.col("nb"))
-        bound = lambda k: F.when(F.col(f"s{k}"), least - F.ceil(F.lit(share / 100) * F.col(f"n{k}") - F.lit(1e-9)) + 1)
-        close = durable(
-            pairs.where("counted").join(side("a"), "a").join(side("b"), ["b", "key"])
-            .groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.count("*").alias("common"))
-            .where(F.col("common") >= F.coalesce(F.least(bound("a"), bound("b")), F.lit(1))).select("a", "b")
-            .unionByName(pairs.where("not counted").select("a", "b"))
+    def __init__(self, docs: DataFrame, size: int, share: int, rare: int, most_compared: int):
+        self.size, self.share, self.rare, self.most_compared = size, share, rare, most_compared
+        self.id_type = docs.schema["doc_id"].dataType.simpleString()
+        docs = docs.select("doc_id", "text")
+        self.texts = docs.where("doc_id is not null and text is not null")
+        sketch = ", ".join(f"{c} long" for c in _SKETCH)
+        self.profile = durable(docs.mapInArrow(_profile(size), f"doc_id {self.id_type}, n int, d1 long, d2 long, {sketch}"))
+        self.sets = durable(
+            self.profile.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2")
+            .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in _SKETCH))
+        )
+        self.kept = [self.sets]
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A durable table that is released with the run."""
+        self.kept.append(durable(df))
+        return self.kept[-1]
+
+    # what two similar sets must have in common
+    def overlap(self, m: Column, n: Column) -> Column:
+        return _div(self.share * (m + n) + 99 + self.share, 100 + self.share)
+
+    def close(self, a: str, b: str) -> Column:
+        """Sizes and sketches of sides named a and b allow similarity."""
+        m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
+        differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col(f"{a}.o0").bitwiseXOR(F.col(f"{b}.o0"))))
+        least = self.overlap(m, n)
+        return (least <= F.least(m, n)) & (differ <= m + n - 2 * least)
+
+    def refined(self, pairs: DataFrame, info: DataFrame, enough: Column | None = None) -> DataFrame:
+        """Pairs a, b (and more columns) that sizes, sketches and ``enough`` do not refute."""
+        rows = pairs.alias("p").join(info.alias("x"), F.col("p.a") == F.col("x.doc_id")).join(info.alias("y"), F.col("p.b") == F.col("y.doc_id"))
+        return rows.where(self.close("x", "y") if enough is None else self.close("x", "y") & enough).select("p.a", "p.b")
+
+    def first_prefixes(self) -> tuple[DataFrame, DataFrame]:
+        """Step 1: candidates by rare single tokens, and the hard sets."""
+        prefixes = self.texts.mapInArrow(_tokens(self.size, self.share, False), f"token long, doc_id {self.id_type}")
+        classes = prefixes.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token", (F.col("docs") > self.rare).alias("frequent"))
+        # copies are known by their representative alone
+        shared = self.keep(prefixes.join(classes, "token").join(self.sets.select("doc_id"), "doc_id", "left_semi"))
+        frequent = shared.where("frequent").groupBy("doc_id").agg(F.count("*").cast("int").alias("f"))
+        n = F.col("n")
+        spare = lambda m: prefix_length(m, self.share) - prefix_need(m, self.share) + 1
+        info = self.sets.join(frequent, "doc_id", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+        info = self.keep(info.select("doc_id", "n", "copies", "f", *_SKETCH, (F.col("f") >= spare(_div(self.share * n + 99, 100))).alias("hard")))
+        pairs = self._pairs(shared.where("not frequent").select("token", "doc_id")).groupBy("a", "b").agg(F.count("*").alias("common"))
+        m, k = F.col("x.n"), F.col("y.n")
+        least = self.overlap(m, k)
+        alike = F.least(*(prefix_length(c, self.share) - (c - least) for c in (m, k)))
+        return self.refined(pairs, info, F.col("p.common") >= alike - F.least("x.f", "y.f")), info
+
+    def _pairs(self, keys: DataFrame) -> DataFrame:
+        """Rows of token, doc_id as pairs a < b; a token has at most ``rare`` rows."""
+        return keys.select("token", F.col("doc_id").alias("a")).join(keys.select("token", F.col("doc_id").alias("b")), "token").where("a < b").select("a", "b")
+
+    def hard_sets(self, info: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Step 2: candidates by rare single tokens of the hard sets; the sets that still lack rare ones, with their frequent tokens."""
+        hard = info.where("hard")
+        texts = self.texts.join(sent_if_small(self.keep(hard.select("doc_id"))), "doc_id", "left_semi").select("doc_id", "text")
+        tokens = self.keep(texts.mapInArrow(_tokens(self.size, self.share, True), f"token long, doc_id {self.id_type}").distinct())
+        often = sent_if_small(self.keep(tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > self.rare).select("token", F.lit(True).alias("frequent"))))
+        split = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("token"))))
+        own = self.keep(
+            tokens.join(often, "token", "left").groupBy("doc_id").agg(split(F.col("frequent").isNull()).alias("single"), split(F.col("frequent")).alias("often"))
+            .join(hard.select("doc_id", "n"), "doc_id")
+        )
+        need = prefix_need(F.col("n"), self.share)
+        keys = own.select(F.explode(F.slice("single", F.lit(1), need)).alias("token"), "doc_id")
+        lacking = own.where(F.size("single") < need).select("doc_id", "n", "often")
+        return self.refined(self._pairs(keys).distinct(), hard), lacking
+
+    def buckets(self, lacking: DataFrame, info: DataFrame) -> DataFrame:
+        """Step 3: each member of a bucket of frequent pairs with the bucket's two leaders."""
+        keys = self.keep(lacking.mapInArrow(_paired(self.share), f"key long, doc_id {self.id_type}").distinct())
+        # the likely centre of a group of near copies: the set with most copies; and any one, the same in all buckets
+        centre = F.struct("copies", F.xxhash64("doc_id").alias("r"), "doc_id")
+        leaders = (
+            keys.join(info.select("doc_id", "copies"), "doc_id").groupBy("key")
+            .agg(F.max(centre).alias("l1"), F.min(F.struct(F.xxhash64("doc_id").alias("r"), "doc_id")).alias("l2"), F.count("*").alias("c"))
+            .where("c > 1").select("key", F.explode(F.array_distinct(F.array("l1.doc_id", "l2.doc_id"))).alias("l"))
         )
-        wanted = sent_if_small(durable(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
-        sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_whole(size), f"doc_id {id_type}, tokens binary")
+        led = keys.join(leaders, "key").where(F.col("doc_id") != F.col("l"))
+        return self.keep(led.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct())
+
+    def apart(self, lacking: DataFrame, info: DataFrame, clusters: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
+        """Pairs of members of one cluster in different components that were not tested yet.  Members of a cluster's largest
+        component are compared with the others only."""
+        own = (
+            lacking.select("doc_id").join(info.select("doc_id", "n", *_SKETCH), "doc_id").join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+            .join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        )
+        parts = own.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.count("*").alias("parts"), F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("n_all"))
+        load = (F.col("n_all") - F.col("m.k")) * F.col("n_all")
+        parts = parts.where("parts > 1").select("cluster", F.col("m.c").alias("main"), F.ceil(load / self.most_compared).cast("int").alias("deal"))
+        member = self.keep(own.join(parts, "cluster"))
+        minor = member.where("c <> main").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("deal")).cast("int"))
+        every = member.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
+        x, y = F.col("x.doc_id"), F.col("y.doc_id")
+        met = minor.alias("x").join(
+            every.alias("y"),
+            (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (y > x)) & self.close("x", "y"),
+        )
+        return self.keep(met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).join(tested, ["a", "b"], "left_anti"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar, by their whole sets."""
+        wanted = sent_if_small(self.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+        sets = self.texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole(self.size), f"doc_id {self.id_type}, tokens binary")
         own = lambda k: sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(f"t{k}"))
-        return close.join(own("a"), "a").join(own("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_similar(share), f"a {id_type}, b {id_type}")
-
-    links = durable(verified(star))
-    found = components(links)
-    # what is left: members of one bucket in different components
-    member = (
-        entries.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("key", "doc_id", "n", "single", "place", F.coalesce("component", "doc_id").alias("c"))
-    )
-    parts = member.groupBy("key", "c").count()
-    mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("count", "c")).alias("m")).where("k > 1").select("key", F.col("m.c").alias("main"))
-    member = durable(member.join(mixed, "key"))
-    minor = member.where("c <> main").select(
-        "key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("single").alias("sx"), F.col("place").alias("px")
-    )
-    other = (
-        minor.join(member, "key")
-        .where((F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("doc_id") > F.col("x"))) & fits(F.col("n"), F.col("nx")))
-        .where(early(F.col("n"), F.col("place"), F.col("nx")) & early(F.col("nx"), F.col("px"), F.col("n")))
-        .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"), (F.col("single") | F.col("sx")).alias("counted")).distinct()
-    )
-    other = durable(other.join(star, ["a", "b"], "left_anti"))
-    if other.limit(1).count():
-        found = components(links.unionByName(verified(other)))
-    named = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    return profile.join(named, ["n", "d1", "d2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_similar(self.share), f"a {self.id_type}, b {self.id_type}")
+
+    def run(self) -> DataFrame:
+        """id, component of the representatives that have links."""
+        first, info = self.first_prefixes()
+        candidates = [first]
+        lacking = star = None
+        if info.where("hard").limit(1).count():
+            second, lacking = self.hard_sets(info)
+            lacking = self.keep(lacking)
+            star = self.buckets(lacking, info)
+            candidates += [second, self.refined(star, info)]
+        every = candidates[0]
+        for more in candidates[1:]:
+            every = every.unionByName(more)
+        tested = self.keep(every.distinct())
+        links = self.keep(self.verified(tested))
+        found = components(links)
+        if star is not None:
+            clusters = self.keep(components(star))
+            rest = self.apart(lacking, info, clusters, found, tested)
+            if rest.limit(1).count():
+                found = components(links.unionByName(self.verified(rest)))
+        return found
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, rare: int = 16, most_compared: int = 20_000_000) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of
+    Jaccard similarity >= share / 100, itself included)."""
+    join = _Join(docs, size, share, rare, most_compared)
+    found = join.run()
+    named = durable(join.sets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id")))
+    release(*join.kept)
+    return join.profile.join(named, ["n", "d1", "d2"], "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
 
