@@ -72,7 +72,7 @@ def near_copies(n=90):
     return rows
 
 
-@pytest.mark.parametrize(("size", "share", "options"), [(4, 85, {}), (2, 60, {"rare": 3}), (5, 80, {"rare": 1}), (4, 85, {"rare": 4, "most_compared": 50})])
+@pytest.mark.parametrize(("size", "share", "options"), [(4, 85, {}), (2, 60, {"rare": 3}), (5, 80, {"rare": 1}), (4, 85, {"rare": 4, "block_docs": 20})])
 def test_jaccard_join(spark, size, share, options):
     rows = corpus() + near_copies()
     docs = spark.createDataFrame(rows, KIND).repartition(3)

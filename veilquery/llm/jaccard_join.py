@@ -15,7 +15,7 @@ index grows with the corpus unless its documents are mostly made of frequent tok
    frequent: large groups of near copies) extends its prefix over frequent tokens, less one in
    each cell of the hash space: two similar sets then share two frequent tokens of one cell.
    Members of a bucket are verified against two leaders only; members of a cluster of
-   connected buckets that are then in different components are compared by sketches.
+   connected buckets that are then in different components are compared in blocks.
 
 Candidates are refuted by their sizes, by the number of rare tokens that their prefixes must
 share, and by odd sketches (the parity of the tokens in each of 512 cells; the sets differ in
@@ -23,8 +23,9 @@ at least as many tokens as the sketches in bits).  What remains is verified on w
 No step drops a pair that is similar.
 
 Equal sets are one representative (the smallest doc_id), so a large group of copies is never
-expanded into pairs.  A cluster's comparison is dealt in parts of at most ``most_compared``
-sketch pairs.
+expanded into pairs.  The blocks of a cluster hold about ``block_docs`` sets and 500 times as many
+tokens; the work in one cluster grows with the product of its members and of those outside its
+largest component.
 
 Null, empty or word-less text: an empty set, linked with nothing.  A row whose doc_id is
 null links with nothing and gets a null component.  Repeated rows are equal sets.  Only
@@ -36,6 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,11 +186,37 @@ def _similar(share: int):
     return run
 
 
+def _across(share: int):
+    """Similar pairs of different components between two blocks of sets."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(left) and len(right):
+            sides = []
+            for rows in (left, right):
+                sets = [np.sort(np.asarray(t, dtype=np.int64).view(np.uint64)) for t in rows["tokens"]]
+                sides.append((rows["doc_id"].tolist(), rows["c"].to_numpy(), sets, np.array([len(t) for t in sets]), np.array([odd_sketch(t) for t in sets])))
+            (ids, c, x, n, bits), (other_ids, other_c, y, m, other_bits) = sides
+            main = left["main"].iloc[0]
+            for k in range(len(ids)):
+                total = n[k] + m
+                least = (share * total + 99 + share) // (100 + share)
+                # of two that are both outside the main component the smaller id asks
+                near = (other_c != c[k]) & ((other_c == main) | (np.array(other_ids) > ids[k])) & (least <= np.minimum(n[k], m))
+                near[near] &= np.bitwise_count(other_bits[near] ^ bits[k]).sum(axis=1) <= total[near] - 2 * least[near]
+                for j in np.flatnonzero(near).tolist():
+                    if total[j] - len(np.union1d(x[k], y[j])) >= least[j]:
+                        found.append((min(ids[k], other_ids[j]), max(ids[k], other_ids[j])))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
 class _Join:
     """One run: the tables that its steps share."""
 
-    def __init__(self, docs: DataFrame, size: int, share: int, rare: int, most_compared: int):
-        self.size, self.share, self.rare, self.most_compared = size, share, rare, most_compared
+    def __init__(self, docs: DataFrame, size: int, share: int, rare: int, block_docs: int):
+        self.size, self.share, self.rare, self.block_docs = size, share, rare, block_docs
         self.id_type = docs.schema["doc_id"].dataType.simpleString()
         docs = docs.select("doc_id", "text")
         self.texts = docs.where("doc_id is not null and text is not null")
@@ -255,7 +283,7 @@ class _Join:
         )
         need = prefix_need(F.col("n"), self.share)
         keys = own.select(F.explode(F.slice("single", F.lit(1), need)).alias("token"), "doc_id")
-        lacking = own.where(F.size("single") < need).select("doc_id", "n", "often")
+        lacking = own.where(F.size("single") < need).select("doc_id", "n", "often", F.concat("single", "often").alias("tokens"))
         return self.refined(self._pairs(keys).distinct(), hard), lacking
 
     def buckets(self, lacking: DataFrame, info: DataFrame) -> DataFrame:
@@ -271,25 +299,28 @@ class _Join:
         led = keys.join(leaders, "key").where(F.col("doc_id") != F.col("l"))
         return self.keep(led.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct())
 
-    def apart(self, lacking: DataFrame, info: DataFrame, clusters: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
-        """Pairs of members of one cluster in different components that were not tested yet.  Members of a cluster's largest
-        component are compared with the others only."""
+    def apart(self, lacking: DataFrame, clusters: DataFrame, found: DataFrame) -> DataFrame:
+        """Links between members of one cluster in different components.  Members of a cluster's largest component are compared
+        with the others only.  Both sides are dealt in blocks of bounded size; every pair of blocks is one group."""
         own = (
-            lacking.select("doc_id").join(info.select("doc_id", "n", *_SKETCH), "doc_id").join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-            .join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+            lacking.select("doc_id", "n").join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+            .join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+        )
+        parts = own.groupBy("cluster", "c").agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).groupBy("cluster").agg(
+            F.count("*").alias("parts"), F.max(F.struct("k", "c", "tokens")).alias("m"), F.sum("k").alias("k"), F.sum("tokens").alias("tokens")
         )
-        parts = own.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.count("*").alias("parts"), F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("n_all"))
-        load = (F.col("n_all") - F.col("m.k")) * F.col("n_all")
-        parts = parts.where("parts > 1").select("cluster", F.col("m.c").alias("main"), F.ceil(load / self.most_compared).cast("int").alias("deal"))
-        member = self.keep(own.join(parts, "cluster"))
-        minor = member.where("c <> main").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("deal")).cast("int"))
-        every = member.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
-        x, y = F.col("x.doc_id"), F.col("y.doc_id")
-        met = minor.alias("x").join(
-            every.alias("y"),
-            (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (y > x)) & self.close("x", "y"),
+        blocks = lambda docs, tokens: F.ceil(F.greatest(docs / self.block_docs, tokens / (500 * self.block_docs), F.lit(1))).cast("int")
+        parts = parts.where("parts > 1").select(
+            "cluster", F.col("m.c").alias("main"), blocks(F.col("k") - F.col("m.k"), F.col("tokens") - F.col("m.tokens")).alias("left"), blocks(F.col("k"), F.col("tokens")).alias("right")
         )
-        return self.keep(met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).join(tested, ["a", "b"], "left_anti"))
+        member = self.keep(own.join(parts, "cluster").join(lacking.select("doc_id", "tokens"), "doc_id").select("cluster", "doc_id", "c", "main", "left", "right", "tokens"))
+        deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        columns = ["cluster", "i", "j", "doc_id", "c", "main", "tokens"]
+        minor = member.where("c <> main").withColumn("i", deal("left")).withColumn("j", every("right")).select(*columns)
+        other = member.withColumn("j", deal("right")).withColumn("i", every("left")).select(*columns)
+        kind = f"a {self.id_type}, b {self.id_type}"
+        return minor.groupBy("cluster", "i", "j").cogroup(other.groupBy("cluster", "i", "j")).applyInPandas(_across(self.share), kind)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are similar, by their whole sets."""
@@ -316,16 +347,16 @@ class _Join:
         found = components(links)
         if star is not None:
             clusters = self.keep(components(star))
-            rest = self.apart(lacking, info, clusters, found, tested)
+            rest = self.keep(self.apart(lacking, clusters, found))
             if rest.limit(1).count():
-                found = components(links.unionByName(self.verified(rest)))
+                found = components(links.unionByName(rest))
         return found
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, rare: int = 16, most_compared: int = 20_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, share: int = 80, rare: int = 16, block_docs: int = 400) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of
     Jaccard similarity >= share / 100, itself included)."""
-    join = _Join(docs, size, share, rare, most_compared)
+    join = _Join(docs, size, share, rare, block_docs)
     found = join.run()
     named = durable(join.sets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id")))
     release(*join.kept)
