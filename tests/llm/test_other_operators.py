@@ -169,6 +169,88 @@ def test_toxicity_on_held_out_documents(spark):
     assert kept.columns == docs.columns
 
 
+def test_toxicity_is_the_difference_of_two_kneser_ney_models(spark):
+    """Against the two models written out: every probability of every context, and likelihoods word by word."""
+    r = random.Random(9)
+    common = [f"w{i}" for i in range(25)]
+    texts, marks = [], []
+    for i in range(400):
+        toxic = int(i % 3 == 0)
+        words = [r.choice(common) for _ in range(r.randint(3, 30))]
+        if toxic:
+            words.insert(r.randrange(len(words)), "scum")
+            words[1:1] = ["w1", "w2"] if r.random() < 0.9 else []
+        texts.append(" ".join(words))
+        marks.append(toxic if i < 300 else None)
+    texts.append("never seen here")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = F.broadcast(spark.createDataFrame([(i, y) for i, y in enumerate(marks) if y is not None], "doc_id long, toxic int"))
+    sure, pair_sure, least = 2.0, 2.0, 1.0
+    model = toxicity.fitted_model(docs, known, sure=sure, pair_sure=pair_sure, least=least, most_decided=1000)
+
+    split = [t.split() for t in texts]
+    vocabulary = sorted({w for t in split for w in t})
+    count = [{}, {}]
+    rate = [{}, {}]
+    for t, y in zip(split, marks, strict=False):
+        if y is not None:
+            for p in set(zip(["<s>", *t], t, strict=False)):
+                count[y][p] = count[y].get(p, 0) + 1
+            for w in set(t):
+                rate[y][w] = rate[y].get(w, 0) + 1
+    total = [sum(y == c for y in marks if y is not None) for c in (0, 1)]
+
+    def decided(n0, n1, z):
+        ratio = np.log((n1 + 0.5) / total[1]) - np.log((n0 + 0.5) / total[0])
+        return abs(ratio) - least >= z * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+
+    own_words = {w for w in vocabulary if decided(rate[0].get(w, 0), rate[1].get(w, 0), sure)}
+    own_pairs = {p for p in {*count[0], *count[1]} if decided(count[0].get(p, 0), count[1].get(p, 0), pair_sure)}
+    assert "scum" in own_words and ("w1", "w2") in own_pairs
+    frequency = {w: sum(w in set(t) for t in split) for w in vocabulary}
+    share = {w: f / sum(frequency.values()) for w, f in frequency.items()}
+
+    def kneser_ney(pairs):
+        before = {w: len({h for h, x in pairs if x == w}) for w in vocabulary}
+        d = toxicity.discount(sum(n == 1 for n in before.values()), sum(n == 2 for n in before.values()))
+        everything, types = sum(before.values()), sum(n > 0 for n in before.values())
+        return {w: max(before[w] - d, 0) / everything + d * types / everything * share[w] for w in vocabulary}
+
+    shared = kneser_ney({*count[0], *count[1]})
+    likelihood = []
+    for c in (0, 1):
+        own = kneser_ney(set(count[c]))
+        scale = (1 - sum(own[w] for w in own_words)) / (1 - sum(shared[w] for w in own_words))
+        unigram = {w: own[w] if w in own_words else shared[w] * scale for w in vocabulary}
+        d = toxicity.discount(sum(n == 1 for n in count[c].values()), sum(n == 2 for n in count[c].values()))
+        table = {}
+        for h in ["<s>", *vocabulary]:
+            n, types = sum(k for (x, _), k in count[c].items() if x == h), sum(x == h for x, _ in count[c])
+            special = {w for x, w in own_pairs if x == h}
+            p = {w: (max(count[c].get((h, w), 0) - d, 0) / n + d * types / n * unigram[w]) if n else unigram[w] for w in special}
+            left = (1 - sum(p.values())) / (1 - sum(unigram[w] for w in special))
+            table[h] = {w: p.get(w, unigram[w] * left) for w in vocabulary}
+            assert abs(sum(table[h].values()) - 1) < 1e-9
+        likelihood.append([sum(np.log(table[h][w]) for h, w in zip(["<s>", *t], t, strict=False)) for t in split])
+    import pyarrow as pa
+
+    got = model.differences(pa.array(texts))
+    want = [(b - a) / len(t) for a, b, t in zip(*likelihood, split, strict=True)]
+    assert np.allclose(got, want, atol=1e-9)
+    assert toxicity.fitted_model(docs, known.where("toxic = 0"), sure=sure, pair_sure=pair_sure, least=least, most_decided=1000) is None
+    # with room for few decided expressions fewer are kept
+    assert len(toxicity.fitted_model(docs, known, sure=sure, pair_sure=pair_sure, least=least, most_decided=1).words) <= 1
+
+
+def test_toxicity_keeps_columns_with_any_name_and_answers_empty_tables(spark):
+    rows = [(i, "idiot " * (i % 2) + f"word{i % 7} and more", "kept", 0.5) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _score string, _SCORE_ double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r["_score"] for r in kept.collect()} == {"kept"}
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
 def test_pipeline_stages_take_effect(spark):
     pytest.importorskip("public_tokenizers")
     d = "/root/testdata/sf0.001"

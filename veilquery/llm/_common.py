@@ -45,6 +45,15 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A name for a helper column that no column of the table has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def sent_if_small(keys: DataFrame, *, rows: int = 1_000_000) -> DataFrame:
     """A key table, with the wish to broadcast it when a count shows at most ``rows`` of its rows;
     otherwise Spark joins it by shuffling both sides."""
