@@ -157,6 +157,18 @@ def test_decontamination(spark, docs):
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[2])
 
 
+def test_longest_matches_and_clashing_names(spark):
+    item = [f"b{i % 23}" for i in range(60)]
+    texts = [" ".join(["x", *item[5:40], "y", *item[:12]]), " ".join(item), "b0 b1", None, ""]
+    docs = spark.createDataFrame([(i, t, "kept", 9) for i, t in enumerate(texts)], "doc_id long, text string, _words string, _FOUND int")
+    bench = spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")
+    got = {r.doc_id: r for r in decontamination.contamination(docs, bench).collect()}
+    assert (got[0].longest.start, got[0].longest.length, got[1].longest.length) == (1, 35, 60)
+    assert (got[0].n_hit, got[1].n_hit, got[2].n_hit, got[3].n_words, got[4].n_hit) == (47, 60, 0, 0, 0)
+    kept = decontamination.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {(2, "b0 b1", "kept", 9), (3, None, "kept", 9), (4, "", "kept", 9)}
+
+
 def test_line_dedup(docs):
     rows = corpus()
     sites = collections.defaultdict(set)

@@ -1,20 +1,21 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-The texts of an Arrow batch are one shard.  Its suffix array holds the word
-positions at which a benchmark window can begin (their first words occur as the
-first words of a window; no other suffix can match), sorted by the words that
-follow.  Every window-long suffix of every benchmark item is found in it by binary
-search; the range of equal suffixes gives all verbatim occurrences and their
-places, and neighbouring finds on one diagonal give the longest match.
+The texts of a partition are cut into shards of about ``_SHARD_BYTES``.  Each shard's suffix array
+is the order of all its word positions by the words that follow (as many as a window has, up to
+the end of the text).  Every window-long suffix of every benchmark item is found in it by
+binary search, some words at a time; the range of equal suffixes gives all verbatim
+occurrences and their places.  The first of them on each diagonal is extended word by word to
+the longest verbatim match.
 
-The benchmark is the only thing broadcast.  It is sent in blocks of at most
-``block_bytes`` of text, each block a further pass over the same rows, so one task
-never holds more than a block.
+The benchmark is the only thing broadcast: as numbers of words, in blocks of at most ``block_bytes``
+of text (about three times as much in memory).  With several blocks the rows are written
+between the passes and each block is released before the next.
 
 Nulls and empty texts have no words; a null item has no windows; items with the
 same id count once; an item whose id is null counts under the empty id.  Repeated
-rows of documents are answered one by one.  Extra columns are ignored by
-:func:`contamination` and kept by :func:`remove_contaminated`.
+rows of documents are answered one by one.  Very long texts are a shard of their own.  Empty tables:
+no documents give an empty result, no items leave every document clean.  Extra columns are ignored by
+:func:`contamination` and kept, whatever their names, by :func:`remove_contaminated`.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilquery.llm._common import ALNUM_LOWER, text_slices, words_of
+from veilquery.llm._common import ALNUM_LOWER, durable, release, text_slices, unused, words_of
+
+_SHARD_BYTES = 2 << 20
 
 _FOUND = T.StructType(
     [
@@ -40,137 +43,150 @@ _FOUND = T.StructType(
 
 
 class _Block:
-    """Windows of some benchmark items, ready for search."""
+    """Windows of some benchmark items: word numbers (1.. in order of the hashes; 0 is any other word), packed for search."""
 
     def __init__(self, rows: list[tuple[str, str]], window: int):
         words = [words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), ALNUM_LOWER).hashes for _, t in rows]
         self.items = [i for i, _ in rows]
         self.window = window
         self.vocabulary = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
-        self.maybe = np.zeros(1 << 18, dtype=bool)
-        self.maybe[(self.vocabulary >> np.uint64(46)).astype(np.int64)] = True
-        seen: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, w in enumerate(words):
-            ids = np.searchsorted(self.vocabulary, w) + 1
-            m = min(window, len(w))
-            for j in range(len(w) - m + 1 if m else 0):
-                seen.setdefault(tuple(ids[j : j + m].tolist()), []).append((k, j))
-        self.keys = sorted(seen)
-        self.lengths = np.array([len(k) for k in self.keys], dtype=np.int64)
-        self.owners = [seen[k] for k in self.keys]
-        low = np.zeros((len(self.keys), window), dtype=">u4")
-        high = np.full((len(self.keys), window), 0xFFFFFFFF, dtype=">u4")
-        for r, k in enumerate(self.keys):
-            low[r, : len(k)] = high[r, : len(k)] = k
-        self.low, self.high = (x.view(f"S{4 * window}").ravel() for x in (low, high))
-        self.gram = min(3, int(self.lengths.min())) if self.keys else 0
-        self.heads = np.unique(np.array([self._join(k[: self.gram]) for k in self.keys], dtype=np.int64))
-
-    def _join(self, ids: tuple[int, ...]) -> int:
-        key = 0
-        for x in ids:
-            key = (key * (len(self.vocabulary) + 1) + x) & 0x7FFFFFFFFFFFFFFF
-        return key
+        self.per_key = 3 if len(self.vocabulary) < (1 << 20) - 1 else 2
+        self.bits = 62 // self.per_key
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        self.numbers = np.zeros(first[-1] + window, dtype=np.int32)
+        if first[-1]:
+            self.numbers[: first[-1]] = np.searchsorted(self.vocabulary, np.concatenate(words)) + 1
+        self.end = np.repeat(first[1:], lengths)
+        self.item = np.repeat(np.arange(len(words)), lengths)
+        self.first = first[self.item]
+        size = np.minimum(lengths, window)[self.item]
+        at = np.arange(first[-1])
+        starts = np.flatnonzero(at + size <= self.end)
+        #: by length in words: where the windows begin
+        self.windows = {int(m): starts[size[starts] == m] for m in np.unique(size[starts])}
+
+    def keys(self, numbers: np.ndarray, at: np.ndarray, end: np.ndarray, words: int, beyond: int = 0) -> list[np.ndarray]:
+        """The next ``words`` word numbers of each position, packed; beyond the end stands ``beyond``."""
+        out = []
+        for a in range(0, words, self.per_key):
+            key = np.zeros(len(at), dtype=np.int64)
+            for k in range(a, a + self.per_key):
+                inside = (at + k < end) if k < words else np.zeros(len(at), dtype=bool)
+                key = key << self.bits | np.where(inside, numbers[np.minimum(at + k, len(numbers) - 1)], beyond)
+            out.append(key)
+        return out
 
     def found(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word positions, lengths and window numbers of all occurrences in these texts."""
+        """First words, lengths and items of all longest verbatim matches in these texts."""
         none = np.empty(0, dtype=np.int64)
         h = words.hashes
-        if not len(self.keys) or not len(h):
-            return none, none, none
-        ids = np.zeros(len(h) + self.window, dtype=np.int64)
-        near = np.flatnonzero(self.maybe[(h >> np.uint64(46)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, h[near]), len(self.vocabulary) - 1)
-        same = self.vocabulary[at] == h[near]
-        ids[near[same]] = at[same] + 1
-        # the suffixes that can begin a window
-        base, head = len(self.vocabulary) + 1, ids[: len(h)].copy()
-        possible = head > 0
-        for g in range(1, self.gram):
-            nxt = ids[g : g + len(h)]
-            head = (head * base + nxt) & 0x7FFFFFFFFFFFFFFF
-            possible &= nxt > 0
-        position = np.flatnonzero(possible)
-        at = np.minimum(np.searchsorted(self.heads, head[position]), len(self.heads) - 1)
-        position = position[self.heads[at] == head[position]]
-        if not len(position):
+        if not len(self.vocabulary) or not len(h):
             return none, none, none
-        # a suffix ends with its text
-        end = words.first[np.searchsorted(words.first, position, side="right")]
-        reach = position[:, None] + np.arange(self.window)
-        following = np.where(reach < end[:, None], ids[reach], 0).astype(">u4")
-        suffixes = np.ascontiguousarray(following).view(f"S{4 * self.window}").ravel()
-        order = np.argsort(suffixes, kind="stable")
-        suffixes, position = suffixes[order], position[order]
-        lo = np.searchsorted(suffixes, self.low, side="left")
-        hi = np.searchsorted(suffixes, self.high, side="right")
-        count = hi - lo
-        window = np.repeat(np.arange(len(count)), count)
-        rank = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        return position[rank], self.lengths[window], window
-
-
-def _matches(block, text_column: str = "text"):
-    """Adds what one block finds to each row's ``_found`` (maximal verbatim matches: start, length, item)."""
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        numbers = np.where(self.vocabulary[at] == h, at + 1, 0)
+        end = np.repeat(words.first[1:], np.diff(words.first))
+        begin = np.repeat(words.first[:-1], np.diff(words.first))
+        suffixes = self.keys(numbers, np.arange(len(h)), end, self.window)
+        order = np.lexsort(suffixes[::-1])
+        suffixes = [k[order] for k in suffixes]
+        places, lengths, items = [], [], []
+        for m, starts in self.windows.items():
+            stop = starts + m
+            low = self.keys(self.numbers, starts, stop, m)
+            high = self.keys(self.numbers, starts, stop, m, (1 << self.bits) - 1)
+            alive = np.arange(len(starts))
+            lo, hi = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), len(h))
+            for key, a, b in zip(suffixes, low, high, strict=False):
+                lo, hi = _bisect(key, a[alive], lo, hi, False), _bisect(key, b[alive], lo, hi, True)
+                some = hi > lo
+                alive, lo, hi = alive[some], lo[some], hi[some]
+            count = hi - lo
+            place = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+            j = np.repeat(starts[alive], count)
+            # a match whose words before are equal too is part of a longer one
+            inner = (place > begin[place]) & (j > self.first[j])
+            inner &= numbers[np.maximum(place - 1, 0)] == self.numbers[np.maximum(j - 1, 0)]
+            place, j = place[~inner], j[~inner]
+            length = np.full(len(place), m)
+            growing = np.arange(len(place))
+            while len(growing):
+                p, q = place[growing] + length[growing], j[growing] + length[growing]
+                more = (p < end[place[growing]]) & (q < self.end[j[growing]])
+                more &= numbers[np.minimum(p, len(numbers) - 1)] == self.numbers[q]
+                growing = growing[more]
+                length[growing] += 1
+            places.append(place)
+            lengths.append(length)
+            items.append(self.item[j])
+        return np.concatenate(places), np.concatenate(lengths), np.concatenate(items)
+
+
+def _bisect(sorted_keys: np.ndarray, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
+    """Binary search of each wanted key within its own range of the array."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        here = sorted_keys[np.minimum(mid, len(sorted_keys) - 1)]
+        up = open_ & ((here <= wanted) if right else (here < wanted))
+        lo = np.where(up, mid + 1, lo)
+        hi = np.where(open_ & ~up, mid, hi)
+    return lo
+
+
+def _matches(block, n_words: str, found_in: str):
+    """Adds what one block finds to each row's list of maximal verbatim matches (start, length, item)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.schema.get_field_index("_found")
+            column = batch.schema.get_field_index(found_in)
             found = batch.column(column).to_pylist()
-            n_words = np.zeros(batch.num_rows, dtype=np.int64)
-            for first, last, data, bounds in text_slices(batch.column(batch.schema.get_field_index(text_column))):
+            count = np.zeros(batch.num_rows, dtype=np.int64)
+            for first, last, data, bounds in text_slices(batch.column(batch.schema.get_field_index("text")), _SHARD_BYTES):
                 words = words_of(data, bounds, ALNUM_LOWER)
-                n_words[first:last] = np.diff(words.first)
-                position, length, window = b.found(words)
-                if not len(position):
-                    continue
-                row = np.searchsorted(words.first, position, side="right") - 1
-                spans: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-                for p, m, w, r in zip(position.tolist(), length.tolist(), window.tolist(), row.tolist(), strict=True):
-                    for item, j in b.owners[w]:
-                        spans.setdefault((r, item, p - j), []).append((p, p + m))
-                for (r, item, _), parts in spans.items():
-                    parts.sort()
-                    s, e = parts[0]
-                    for p, q in parts[1:]:
-                        if p == s or p <= e and q - p + s <= e:
-                            e = max(e, q)
-                        elif p <= e and p - (e - (q - p)) == 1:
-                            e = q
-                        else:
-                            found[first + r].append({"start": s - int(words.first[r]), "length": e - s, "item": b.items[item]})
-                            s, e = p, q
-                    found[first + r].append({"start": s - int(words.first[r]), "length": e - s, "item": b.items[item]})
+                count[first:last] = np.diff(words.first)
+                place, length, item = b.found(words)
+                row = np.searchsorted(words.first, place, side="right") - 1
+                for r, p, n, i in zip(row.tolist(), (place - words.first[row]).tolist(), length.tolist(), item.tolist(), strict=True):
+                    found[first + r].append({"start": p, "length": n, "item": b.items[i]})
             kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string())]))
-            out = batch.set_column(column, "_found", pa.array(found, type=kind))
-            yield out.set_column(out.schema.get_field_index("_words"), "_words", pa.array(n_words))
+            out = batch.set_column(column, found_in, pa.array(found, type=kind))
+            yield out.set_column(out.schema.get_field_index(n_words), n_words, pa.array(count))
 
     return run
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """The rows with _words and _found."""
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, str, str]:
+    """The rows with two more columns, and their names: the number of words and the matches."""
     spark = docs.sparkSession
+    n_words, found = unused("words", docs), unused("found", docs)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    out = docs.withColumns({"_words": F.lit(0).cast("long"), "_found": F.array().cast(T.ArrayType(_FOUND))})
+    out = docs.withColumns({n_words: F.lit(0).cast("long"), found: F.array().cast(T.ArrayType(_FOUND))})
+    written = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        rows = [(r["item"], r["text"]) for r in part.toLocalIterator()]
-        out = out.mapInArrow(_matches(spark.sparkContext.broadcast(_Block(rows, window))), out.schema)
-    return out
+        sent = spark.sparkContext.broadcast(_Block([(r["item"], r["text"]) for r in part.toLocalIterator()], window))
+        out = out.mapInArrow(_matches(sent, n_words, found), out.schema)
+        if k < blocks - 1:
+            out = durable(out)
+            sent.destroy()
+            if written is not None:
+                release(written)
+            written = out
+    return out, n_words, found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: doc_id, text, n_words, n_hit, items (sorted ids of found items), longest (the
     longest verbatim match: length in words, start word, item; null if none)."""
-    out = _searched(docs.select("doc_id", "text"), benchmark, window, block_bytes)
+    out, n_words, found = _searched(docs.select("doc_id", "text"), benchmark, window, block_bytes)
     covered = F.aggregate(
-        F.array_sort(F.transform("_found", lambda x: F.struct(x["start"].alias("s"), (x["start"] + x["length"]).alias("e")))),
+        F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("s"), (x["start"] + x["length"]).alias("e")))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")),
         lambda acc, x: F.struct(
             (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["e"]))).alias("n"),
@@ -178,14 +194,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
         ),
         lambda acc: acc["n"].cast("long"),
     )
-    longest = F.array_max(F.transform("_found", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("back"), x["item"].alias("item"))))
+    longest = F.array_max(F.transform(found, lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("back"), x["item"].alias("item"))))
     return out.select(
-        "doc_id", "text", F.col("_words").alias("n_words"), covered.alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["item"]))).alias("items"),
+        "doc_id", "text", F.col(n_words).alias("n_words"), covered.alias("n_hit"),
+        F.array_sort(F.array_distinct(F.transform(found, lambda x: x["item"]))).alias("items"),
         F.when(longest.isNotNull(), F.struct(longest["length"].alias("length"), (-longest["back"]).alias("start"), longest["item"].alias("item"))).alias("longest"),
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns; one pass, no join."""
-    return _searched(docs, benchmark, window, block_bytes).where(F.size("_found") == 0).drop("_words", "_found")
+    out, n_words, found = _searched(docs, benchmark, window, block_bytes)
+    return out.where(F.size(found) == 0).drop(n_words, found)
