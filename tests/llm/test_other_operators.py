@@ -72,8 +72,30 @@ def test_html_raw_text_ends_at_its_end_tag():
 
 
 def test_html_path_counts_every_ancestor():
+    def vector(*elements):
+        path = None
+        for e in elements:
+            path = html_extract.Path(path, e)
+        return path.vector()
+
     path = ("div", "div", "div", "div", "div", "div", "div", "div", "div", "p")
-    assert (html_extract._path_vector(("section comments", *path)) != html_extract._path_vector(("section article", *path))).any()
+    assert (vector("section comments", *path) != vector("section article", *path)).any()
+    assert (vector("div", "p") != vector("p", "div")).any() and (vector("div a", "div b", "p") == vector("div b", "div a", "p")).all()
+
+
+def test_html_of_very_long_and_deep_pages(spark):
+    import time
+
+    deep = "<div class=content><p>x" * 45_000  # a megabyte, never closed
+    stray = "<div>" * 20_000 + "</span></b></li>" * 40_000 + "<p>end</p>"
+    began = time.time()
+    assert len(html_extract.blocks_of(deep)) == 45_000 and [t for _, t, _ in html_extract.blocks_of(stray)] == ["end"]
+    assert time.time() - began < 4
+    long = "<article>" + "".join(f"<p>Sentence number {i} of a very long article, which goes on.</p>" for i in range(8000)) + "</article>"
+    rows = [(1, "u", long), (1, "u", long), (2, "u", None)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text.count("\n\n")) for r in got) == [(1, 7999), (1, 7999), (2, 0)]
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_html_blocks_and_labels(spark):

@@ -20,6 +20,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,10 +53,46 @@ _SIZE = _PATH + _WORDS + _MEASURES
 _HIDDEN_UNITS = 20
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """Tag path, text and share of text inside links of each leaf block, in page order."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []
+class Path:
+    """An open block element and those around it; long paths share what they have in common."""
+
+    __slots__ = ("element", "outer", "seen")
+
+    def __init__(self, outer: Path | None, element: str):
+        self.outer, self.element, self.seen = outer, element, None
+
+    def vector(self) -> np.ndarray:
+        """All elements' names and marks, hashed, and the innermost element's name."""
+        path, waiting = self, []
+        while path is not None and path.seen is None:
+            waiting.append(path)
+            path = path.outer
+        seen = np.zeros(_PATH, dtype=np.float32) if path is None else path.seen
+        for p in reversed(waiting):
+            own = _cells(p.element)[0]
+            if not seen[own].all():
+                seen = seen.copy()
+                seen[own] = 1
+            p.seen = seen
+        out = self.seen.copy()
+        out[_cells(self.element)[1]] = 1
+        return out
+
+
+@lru_cache(maxsize=20_000)
+def _cells(element: str) -> tuple[list[int], list[int]]:
+    """Where an element's name and marks count in any place of a path, and where its name counts as the innermost."""
+    tokens = re.findall(r"[a-z0-9]+", element)
+    # an element's name and its marks are different features
+    anywhere = [zlib.crc32(f"{'n' if k == 0 else 'm'}{t}".encode()) % (_PATH - 16) for k, t in enumerate(tokens)]
+    return anywhere, [_PATH - 16 + zlib.crc32(t.encode()) % 16 for t in tokens[:1]]
+
+
+def blocks_of(page: str) -> list[tuple[Path | None, str, float]]:
+    """Tag path, text and share of text inside links of each leaf block, in page order; time in proportion to the page."""
+    out: list[tuple[Path | None, str, float]] = []
+    stack: list[tuple[str, Path | None]] = []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = 0
     links = 0
@@ -66,13 +103,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if pieces:
             text = _SPACES.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                out.append((tuple(x for _, x in stack if x), text, min(1.0, linked / len(text))))
+                out.append((stack[-1][1] if stack else None, text, min(1.0, linked / len(text))))
         pieces, linked = [], 0
 
     def close(depth: int) -> None:
         nonlocal links
         for name, _ in stack[depth:]:
             links -= name == "a"
+            opened[name] -= 1
         del stack[depth:]
 
     m = _TOKEN.search(page)
@@ -100,10 +138,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if token[1]:
             if name in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if opened[name]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         if name in _HIDDEN and not token[3].rstrip().endswith("/"):
             if name != "head":
@@ -112,7 +148,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if name in _BLOCK:
             flush()
             ends = _ENDS.get(name)
-            if ends:
+            if ends and any(opened[x] for x in ends):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ends:
                         close(k)
@@ -122,11 +158,12 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         elif name == "br":
             pieces.append(" ")
         if name not in _VOID:
-            shown = ""
+            path = stack[-1][1] if stack else None
             if name in _BLOCK and name not in ("html", "body"):
                 marks = " ".join(x for found in _NAMED.findall(token[3]) for x in found if x).lower() if token[3] else ""
-                shown = f"{name} {marks}".strip()
-            stack.append((name, shown))
+                path = Path(path, f"{name} {marks}".strip())
+            stack.append((name, path))
+            opened[name] += 1
             links += name == "a"
     if skip is None and at < len(page):
         pieces.append(page[at:])
@@ -134,20 +171,11 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(_PATH, dtype=np.float32)
-    for depth, element in enumerate(path):
-        for k, token in enumerate(re.findall(r"[a-z0-9]+", element)):
-            # an element's name and its marks are different features; the innermost element counts apart
-            kind = "n" if k == 0 else "m"
-            v[zlib.crc32(f"{kind}{token}".encode()) % (_PATH - 16)] = 1
-            if depth == len(path) - 1 and k == 0:
-                v[_PATH - 16 + zlib.crc32(token.encode()) % 16] = 1
-    return v
-
-
-def _vectors(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def _path_vector(path: Path | None) -> np.ndarray:
+    return np.zeros(_PATH, dtype=np.float32) if path is None else path.vector()
+
+
+def _vectors(blocks: list[tuple[Path | None, str, float]]) -> np.ndarray:
     x = np.zeros((len(blocks), _SIZE), dtype=np.float32)
     if not blocks:
         return x
