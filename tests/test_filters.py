@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from veilquery.functions.values import Fields, avg_of, count_of, max_of, min_of, sum_of, value
+from veilquery.functions.values import Fields, avg_of, count_of, max_of, min_of, now, sum_of, today, value
 
 ROW = {"age": 25, "price": 30.0, "name": "Smith", "empty": "", "none": None, "children": ["joseph", "sarah"], "readings": [3, 5], "dob": dt.datetime(2000, 1, 1), "tall": True, "none_too": None}
 KIND = "age int, price double, name string, empty string, none string, children array<string>, readings array<int>, dob timestamp, tall boolean, none_too string"
@@ -25,7 +25,8 @@ def row(spark):
         (lambda f: value("sarah").is_in(f["children"]), True), (lambda f: value("bob").is_in(f["children"]), False), (lambda f: value("mit").is_in(f["name"]), True),
         (lambda f: value(1).is_in([1, 2, 3]), True), (lambda f: ~f["children"].is_empty(), True), (lambda f: f["empty"].is_empty(), True), (lambda f: f["none"].is_empty(), True),
         (lambda f: f["name"].matches("S[a-z]+"), True), (lambda f: f["name"].matches("S[a-z]"), False), (lambda f: f["dob"] < dt.datetime(2001, 7, 4), True),
-        (lambda f: f["tall"], True), (lambda f: ~f["tall"], False), (lambda f: f["age"] & f["name"], True), (lambda f: f["empty"], False),
+        (lambda f: value("abc\n").matches("abc"), False), (lambda f: value("abc\nx").matches("(?s)abc.x"), True), (lambda f: f["dob"] < today(), True), (lambda f: value(None) > now(), False),
+        (lambda f: (now() >= today()) & (now() > f["dob"]), True), (lambda f: f["tall"], True), (lambda f: ~f["tall"], False), (lambda f: f["age"] & f["name"], True), (lambda f: f["empty"], False),
         (lambda f: value(5.9) + 1 == 6, True), (lambda f: value(7) / 2 == 3, True), (lambda f: value(-7) / 2 == -3, True), (lambda f: value(9).sqrt() == 3, True),
         (lambda f: f["name"].concat(None) == "Smithnull", True), (lambda f: f["name"].char_length() == 5, True), (lambda f: count_of(3, 5.5, 18) == 3, True),
         (lambda f: sum_of(f["readings"], 2) == 10, True), (lambda f: avg_of(f["readings"], 4) == 4, True), (lambda f: min_of(7, f["readings"]) == 3, True), (lambda f: max_of(f["readings"], 2) == 5, True),

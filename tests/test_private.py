@@ -5,10 +5,11 @@ import random
 
 import pytest
 
-from veilquery.operators.cipher import NullScheme, PaillierScheme
+from veilquery.functions.values import Fields
+from veilquery.operators.cipher import NullScheme, PaillierScheme, scheme_named
 from veilquery.operators.records import decode_records, encode_record, read_varint, varint
 from veilquery.plans import answer, private
-from veilquery.schema import DataField, DataSchema, QueryField, QuerySchema
+from veilquery.schema import NULL_DEFAULTS, DataField, DataSchema, QueryField, QuerySchema
 from veilquery.streaming import windows
 
 DATA = DataSchema("t", tuple(DataField(n, t, k) for k, (n, t) in enumerate([("who", "string"), ("n", "int"), ("tags", "string_list"), ("at", "ISO8601Date"), ("ok", "boolean"), ("ord", "long")])))
@@ -50,6 +51,49 @@ def test_private_run_returns_the_plain_answer(spark, scheme):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, (tuple(r) for r in want))) and want
 
 
+def test_chunks_may_only_be_lowered(spark):
+    rows = table(spark)
+    query, key = private.encrypt_query(spark, SCHEMA, ["a", "b"], NullScheme(), hash_bits=5, chunk_size=6)
+    got = private.decrypt(private.respond(rows, query, "ord", chunk_size=4), key, chunk_size=4).drop("result_set").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, answer.answer(rows, SCHEMA, ["a", "b"]).collect())))
+    with pytest.raises(ValueError):
+        private.respond(rows, query, "ord", chunk_size=7)
+    for scheme, selectors, size in ((NullScheme(), ["a"], 17), (PaillierScheme.generate(256), list("abcdefgh"), 4)):
+        with pytest.raises(ValueError):
+            private.encrypt_query(spark, SCHEMA, selectors, scheme, hash_bits=8, chunk_size=size)
+    assert scheme_named("null") == NullScheme() and scheme_named("paillier", bits=128).n.bit_length() in (127, 128)
+    with pytest.raises(ValueError):
+        scheme_named("none")
+
+
+def test_every_type_is_encoded():
+    values = {
+        "byte": -7, "short": -300, "int": -(1 << 31), "long": (1 << 62) + 1, "float": 1.5, "double": -2.25, "boolean": True, "char": "é", "string": "üx", "byteArray": b"\x00\x01",
+        "ip4": "10.0.0.255", "ip6": "fe80::1", "ISO8601Date": dt.datetime(2001, 7, 4, 14, 23, 31, 250000),
+    }
+    fields = [(k, k, False, None, None) for k in values] + [(f"{k}_l", k, True, None, 2) for k in values]
+    data = encode_record(fields, 5, [*values.values(), *([v, v, v] for v in values.values())])
+    assert list(decode_records(fields, 5, data)) == [[*values.values(), *([v, v] for v in values.values())]]
+    nulls = [(k, k, False, None, None) for k in values if k != "ISO8601Date"]
+    assert list(decode_records(nulls, 5, encode_record(nulls, 5, [None] * len(nulls)))) == [[NULL_DEFAULTS.get(k[0]) for k in nulls]]
+    cut = [("b", "byteArray", False, 1, None), ("l", "string", True, 2, 1)]
+    assert list(decode_records(cut, 5, encode_record(cut, 5, [b"xyz", ["abc", "d"]]))) == [[b"x", ["ab"]]]
+
+
+def test_counters(spark):
+    rows = table(spark)
+    got = answer.run_counters(rows, SCHEMA, where=Fields(rows.schema)["n"] >= 0, most_hits=3, hash_bits=20).first().asDict()
+    seen = rows.collect()
+    passed = [r.who for r in seen if r.n is not None and r.n >= 0]
+    full = {w: passed.count(w) for w in passed if w}
+    over = sum(max(0, k - 3) for k in full.values())
+    assert got == {
+        "n_read": 60, "n_filtered": 60 - len(passed), "n_null_selectors": sum(not w for w in passed), "n_overflowed": over, "n_buckets_overflowed": sum(k > 3 for k in full.values()),
+        "n_processed": sum(full.values()) - over,
+    }
+    assert set(answer.run_counters(rows.limit(0), SCHEMA).first()) == {0}
+
+
 def test_hit_limit_is_per_bucket_and_needs_an_order(spark):
     rows = table(spark)
     got = answer.answer(rows, SCHEMA, ["a", "b"], most_hits=2, order_by=["ord"], hash_bits=20)
@@ -78,3 +122,16 @@ def test_stream_lands_and_closed_windows_answer(spark, tmp_path):
     last = landed.agg({"window_number": "max"}).first()[0]
     got = private.decrypt(windows.respond_to_closed(landed, query, "ord", closed_before=last), key)
     assert got.count() == landed.where(f"who = 'a' and window_number < {last}").count()
+    # windows whose records all fail the filter are there with an empty response, and each has its dated folder
+    response = windows.respond_to_closed(landed, query, "ord", closed_before=last, where=Fields(landed.schema)["n"] > 1 << 31)
+    every = windows.with_empty_windows(response, landed, closed_before=last)
+    assert response.count() == 0 and every.count() == 29 and every.where("value is null").count() == 29
+    windows.write_windows(every, 7200, str(tmp_path / "dated"))
+    assert (tmp_path / "dated" / "year=2020" / "month=1" / "day=1" / "span=220000-000000").exists() is False
+    assert (tmp_path / "dated" / "year=2020" / "month=1" / "day=2" / "span=220000-000000").exists()
+
+
+def test_stream_runs_for_a_time(spark, tmp_path):
+    stream = spark.readStream.format("rate").load()
+    started = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
+    assert windows.run_for(started, 2) is False and not started.isActive

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilquery.functions.values import Fields, Value, avg_of, count_of, max_of, min_of, sum_of, value
+from veilquery.functions.values import Fields, Value, avg_of, count_of, max_of, min_of, now, sum_of, today, value
 from veilquery.operators.cipher import NullScheme, PaillierScheme
 from veilquery.operators.columns import first_hits, number_columns
 from veilquery.operators.hashing import aux_hash, row_hash
@@ -105,9 +105,11 @@ _filter("flt_not_empty", "embeddings", "vec_id", lambda f: f["embedding"].is_not
 _filter("flt_matches", "part", "p_partkey p_name", lambda f: f["p_name"].matches("[a-m].*[0-9]*"), "regexp_full_match(p_name, '[a-m].*[0-9]*')")
 _filter("flt_in_list", "orders", "o_orderkey", lambda f: f["o_orderpriority"].is_in(["1-URGENT", "5-LOW"]), "o_orderpriority in ('1-URGENT', '5-LOW')")
 _filter("flt_in_substring", "documents", "doc_id", lambda f: value("Licensed").is_in(f["text"]), "contains(text, 'Licensed')")
-_filter("flt_in_list_field", "embeddings", "vec_id", lambda f: ~value(0.5).is_in(f["embedding"]), "not list_contains(embedding, 0.5::float)")
+_filter("flt_in_list_field", "embeddings", "vec_id", lambda f: f["label"].is_in([f["vec_id"] % 7, 3]), "label in (vec_id % 7, 3)")
 _filter("flt_truthy_number", "supplier", "s_suppkey", lambda f: f["s_nationkey"] & f["s_name"], "s_nationkey <> 0 and s_name <> ''")
 
+_filter("flt_current_time", "events", "event_id", lambda f: (f["ts"] < now()) & ~(f["ts"] >= today()) & (f["value"] > 50), "ts < now()::timestamp and ts < current_date and value > 50")
+
 
 def _with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").withColumn("status", F.expr("nullif(o_orderstatus, 'P')"))
@@ -138,7 +140,7 @@ def flt_null_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 _compute("math_operators", "lineitem", _LINE, lambda f: f["l_extendedprice"] * 0.5 - f["l_tax"] / 0.25, "l_extendedprice * 0.5::double - l_tax / 0.25::double")
 _compute("math_integral_contagion", "lineitem", _LINE, lambda f: f["l_extendedprice"] + f["l_orderkey"], "trunc(l_extendedprice)::bigint + l_orderkey")
 _compute("math_divide_integral", "lineitem", _LINE, lambda f: (f["l_orderkey"] / 7) + (f["l_partkey"] % 5), "l_orderkey // 7 + l_partkey % 5")
-_compute("math_divide_by_zero", "lineitem", _LINE, lambda f: (f["l_extendedprice"] / (f["l_discount"] - f["l_discount"])) > 1e300, "true")
+_compute("math_divide_by_zero", "lineitem", _LINE, lambda f: f["l_extendedprice"] / (f["l_discount"] - 0.05), "case when l_discount = 0.05 then 'Infinity'::double else l_extendedprice / (l_discount - 0.05::double) end")
 _compute("sqrt", "customer", "c_custkey", lambda f: f["c_custkey"].sqrt(), "sqrt(c_custkey::double)")
 _compute("concat_null", "orders", "o_orderkey", lambda f: f["o_orderpriority"].concat("/").concat(f["o_orderkey"]).concat(None), "o_orderpriority || '/' || o_orderkey::varchar || 'null'")
 _compute("char_length", "documents", "doc_id", lambda f: f["text"].char_length(), "length(text)")
@@ -270,6 +272,17 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.merged(*(plain.answer(orders.where(F.col("o_orderkey") % 2 == k), ORDERS, WANTED) for k in (0, 1)))
 
 
+@_query(
+    "run_counters",
+    f"select sum(n)::bigint as n_read, sum(f)::bigint as n_filtered, 0::bigint as n_null_selectors, sum(over)::bigint as n_overflowed, count(*) filter (over > 0) as n_buckets_overflowed, "
+    f"sum(n - f - over)::bigint as n_processed from (select {_BUCKET} as b, count(*) as n, count(*) filter (o_totalprice <= 100000) as f, "
+    f"greatest(count(*) filter (o_totalprice > 100000) - 120, 0) as over from orders group by 1)",
+)
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    return plain.run_counters(orders, ORDERS, where=Fields(orders.schema)["o_totalprice"] > 100000, most_hits=120, hash_key="k1", hash_bits=9)
+
+
 @_query("response_merge", f"select o_orderpriority as selector, count(*) as n_hits from orders where o_orderpriority in {_WANTED_SQL} group by 1")
 def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("selector", "n_hits").distinct()

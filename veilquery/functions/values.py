@@ -155,7 +155,7 @@ class Value:
 
     def matches(self, pattern: str) -> Value:
         """Full match of a Java regular expression; null does not match."""
-        return Value(F.coalesce(self.column.rlike(f"^(?:{pattern})$"), F.lit(False)), "bool")
+        return Value(F.coalesce(self.column.rlike(rf"\A(?:{pattern})\z"), F.lit(False)), "bool")
 
     def is_in(self, other) -> Value:
         """Membership in a list, or containment in a string."""
@@ -209,6 +209,16 @@ def value(x) -> Value:
     raise TypeError(f"no filter value from {type(x).__name__}")
 
 
+def now() -> Value:
+    """The current time, captured once when the filter is built."""
+    return value(dt.datetime.now(dt.timezone.utc))
+
+
+def today() -> Value:
+    """The first instant of the current day in UTC, captured once when the filter is built."""
+    return value(dt.datetime.now(dt.timezone.utc).replace(hour=0, minute=0, second=0, microsecond=0))
+
+
 class Fields:
     """The fields of a schema as Values; unknown names raise KeyError."""
 

@@ -40,6 +40,10 @@ class NullScheme:
         """Bytes that a column's plaintext can hold (any number here)."""
         return 1 << 20
 
+    def most_chunk_size(self, selectors: int) -> int:
+        """The largest chunk, in bytes, that a query may ask for."""
+        return 16
+
 
 def _is_prime(n: int, rounds: int = 40) -> bool:
     if n < 4:
@@ -114,5 +118,17 @@ class PaillierScheme:
     def capacity(self) -> int:
         return (self.n.bit_length() - 1) // 8
 
+    def most_chunk_size(self, selectors: int) -> int:
+        """All selectors' chunks share a plaintext; 0 if they are too many."""
+        return min(384, self.capacity()) // selectors
+
 
 SCHEMES = {"null": NullScheme, "paillier": PaillierScheme}
+
+
+def scheme_named(name: str, **settings) -> NullScheme | PaillierScheme:
+    """A fresh scheme by its registered name; settings: ``bits`` of the Paillier modulus."""
+    if name not in SCHEMES:
+        raise ValueError(f"no scheme {name!r}; there are {sorted(SCHEMES)}")
+    kind = SCHEMES[name]
+    return kind.generate(**settings) if kind is PaillierScheme else kind(**settings)

@@ -43,6 +43,26 @@ def matching(
     return rows
 
 
+def run_counters(source: DataFrame, schema: QuerySchema, *, where: Value | None = None, most_hits: int | None = None, hash_key: str = "", hash_bits: int = 12) -> DataFrame:
+    """One row on what a run does with its records: n_read, n_filtered (fail the filter), n_null_selectors (pass it, without a
+    selector), n_overflowed (beyond ``most_hits`` of their bucket), n_buckets_overflowed, n_processed.  One pass: rows are
+    counted by bucket, at most 2**hash_bits groups, before anything is shuffled."""
+    selector = F.col(f"`{schema.selector}`")
+    passes = where.truth() if where is not None else F.lit(True)
+    blank = F.trim(selector_text(selector)) == ""
+    bucket = F.when(passes & ~blank, row_hash(hash_key, hash_bits, selector))
+    by = source.groupBy(bucket.alias("bucket")).agg(
+        F.count("*").alias("n"), F.count_if(~passes).alias("filtered"), F.count_if(passes & blank).alias("blank")
+    )
+    over = F.greatest(F.col("n") - most_hits, F.lit(0)) if most_hits is not None else F.lit(0)
+    over = F.when(F.col("bucket").isNotNull(), over).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return by.agg(
+        total("n").alias("n_read"), total("filtered").alias("n_filtered"), total("blank").alias("n_null_selectors"), total(over).alias("n_overflowed"),
+        F.count_if(over > 0).alias("n_buckets_overflowed"), total(F.when(F.col("bucket").isNotNull(), F.col("n") - over)).alias("n_processed"),
+    )
+
+
 def answer(source: DataFrame, schema: QuerySchema, selectors: list[str], *, null_mode: str = "reference", **options) -> DataFrame:
     """One row per hit: selector and the other selected fields.  The selectors are a query's own short list."""
     rows = matching(source, schema, **options)

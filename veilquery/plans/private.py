@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import secrets
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 import pyarrow as pa
@@ -59,8 +59,8 @@ def encrypt_query(
     own = tuple(dict.fromkeys(selectors))
     if not 1 <= len(own) <= 1 << hash_bits:
         raise ValueError("there must be between 1 and 2**hash_bits selectors")
-    if len(own) * chunk_size > scheme.capacity():
-        raise ValueError("so many selectors with such chunks do not fit a ciphertext")
+    if not 1 <= chunk_size <= scheme.most_chunk_size(len(own)):
+        raise ValueError(f"chunks of {len(own)} selectors have 1 to {scheme.most_chunk_size(len(own))} bytes")
     for _ in range(tries):
         key = secrets.token_hex(10)
         buckets = {keyed_hash_of(key, hash_bits, s): i for i, s in enumerate(own)}
@@ -119,8 +119,18 @@ def cells(
     )
 
 
-def respond(source: DataFrame, query: PrivateQuery, order_by: str, **options) -> DataFrame:
+def lowered(query: PrivateQuery, chunk_size: int | None) -> PrivateQuery:
+    """The query with smaller chunks; the responding side may only lower them.  The response must be decrypted with the same size."""
+    if chunk_size is None:
+        return query
+    if not 1 <= chunk_size <= query.chunk_size:
+        raise ValueError(f"the chunk size may only be lowered, from {query.chunk_size}")
+    return replace(query, chunk_size=chunk_size)
+
+
+def respond(source: DataFrame, query: PrivateQuery, order_by: str, *, chunk_size: int | None = None, **options) -> DataFrame:
     """The response: result_set, column, value (the encrypted sum, big-endian)."""
+    query = lowered(query, chunk_size)
     scheme = query.scheme
     sent = source.sparkSession.sparkContext.broadcast(query.elements)
 
@@ -136,10 +146,11 @@ def respond(source: DataFrame, query: PrivateQuery, order_by: str, **options) ->
     return grouped.applyInPandas(summed, "result_set long, column long, value binary")
 
 
-def decrypt(response: DataFrame, key: QueryKey) -> DataFrame:
+def decrypt(response: DataFrame, key: QueryKey, *, chunk_size: int | None = None) -> DataFrame:
     """result_set, selector and the selected fields of every hit; records of other selectors of a bucket are dropped
-    by their auxiliary hash.  Runs where the key may be."""
-    size, scheme, own = key.chunk_size, key.scheme, key.selectors
+    by their auxiliary hash.  Runs where the key may be.  ``chunk_size``: that of the response, if it was lowered."""
+    scheme, own, step = key.scheme, key.selectors, key.chunk_size
+    size = chunk_size or step
     fields = layout(key.schema)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +159,7 @@ def decrypt(response: DataFrame, key: QueryKey) -> DataFrame:
             for s, c, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 plain = scheme.decrypt(int.from_bytes(v, "big"))
                 for i in range(len(own)):
-                    chunk = (plain >> 8 * size * i & (1 << 8 * size) - 1).to_bytes(size, "big")
+                    chunk = (plain >> 8 * step * i & (1 << 8 * size) - 1).to_bytes(size, "big")
                     if any(chunk):
                         for column, x in zip(out, (s, i, c, chunk), strict=True):
                             column.append(x)

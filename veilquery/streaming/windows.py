@@ -37,6 +37,31 @@ def land(stream: DataFrame, time: str, seconds: int, path: str, checkpoint: str,
     return writer.trigger(**(trigger or {"availableNow": True})).outputMode("append").start()
 
 
+def run_for(query: StreamingQuery, seconds: float) -> bool:
+    """Lets a stream run for a time at most, then stops it; whether it ended by itself.  A failed stream raises."""
+    ended = query.awaitTermination(seconds)
+    if not ended:
+        query.stop()
+    return bool(ended)
+
+
+def with_empty_windows(response: DataFrame, landed: DataFrame, *, closed_before: int, done: int = -(1 << 62)) -> DataFrame:
+    """The response, and a row with null column and value for each closed window that has records but no hit; a window
+    without records has no row."""
+    there = landed.where((F.col("window_number") >= done) & (F.col("window_number") < closed_before)).select(F.col("window_number").cast("long").alias("result_set")).distinct()
+    return there.join(response, "result_set", "left")
+
+
+def write_windows(response: DataFrame, seconds: int, path: str) -> None:
+    """Appends window responses under year=/month=/day=/span=HHmmss-HHmmss of the windows (UTC; the day is that of the end)."""
+    start, end = F.timestamp_seconds(F.col("result_set") * seconds), F.timestamp_seconds((F.col("result_set") + 1) * seconds)
+    utc = lambda t, form: F.date_format(F.to_utc_timestamp(t, F.current_timezone()), form)
+    dated = response.withColumns({
+        "year": utc(end, "yyyy"), "month": utc(end, "M"), "day": utc(end, "d"), "span": F.concat_ws("-", utc(start, "HHmmss"), utc(end, "HHmmss")),
+    })
+    dated.write.partitionBy("year", "month", "day", "span").mode("append").parquet(path)
+
+
 def respond_to_closed(
     landed: DataFrame, query: PrivateQuery, order_by: str, *, closed_before: int, done: int = -(1 << 62), where: Value | None = None, most_hits: int | None = None
 ) -> DataFrame:
