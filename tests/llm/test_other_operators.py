@@ -155,6 +155,44 @@ def test_cut_archives_are_noticed():
         list(warc.parse_warc(warc.warc_record("response", "u", "d", b"block", None, {})))
 
 
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_real_archives_are_tolerated(spark, tmp_path, version):
+    """Bodies that are not UTF-8, content types with spaces, odd HTTP heads, blocks without one, junk between records."""
+    behind = b" 200 x - 0 f" if version == "2" else b""
+
+    def record(url, kind, block):
+        return b" ".join([url, b"1.2.3.4", b"20010203040506", kind]) + behind + b" %d\n" % len(block) + block + b"\n"
+
+    blocks = [b"HTTP/1.0 200 OK\r\nA:b\r\nno field\r\n\r\n\xff\xfe\x00body", b"HTTP/1.0 200 OK\nContent-Type: x\n\nbody", b"plain \xe9", b""]
+    good = warc.arc_version_block(version, "20010203040506") + b"\n" + b"".join(record(b"http://a/%d" % i, b"text/html; charset=utf-8", b) for i, b in enumerate(blocks))
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc").write_bytes(good)
+    warc.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = {r.url: r for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    for i, payload in enumerate((b"\xff\xfe\x00body", b"body", b"plain \xe9", b"")):
+        assert (got[f"http://a/{i}"].payload_bytes, got[f"http://a/{i}"].payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest())
+    bad = good + b"what is this line\n" + record(b"http://a/9", b"text/plain", b"last") + record(b"http://a/10", b"text/plain", b"cut")[:-3]
+    assert [f["URL"] for f, _ in warc.parse_arc(bad, malformed="skip")] == [f"http://a/{i}" for i in (0, 1, 2, 3, 9)]
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(bad))
+
+
+def test_record_ids_are_unique_and_revisits_refer_to_them(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", ("z" if i % 3 else "w") * 1200) for i in range(12)], "page_id long, url string, html string").repartition(3)
+    warc.write_arc(pages, str(tmp_path / "arc"), per_file=3)
+    warc.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), per_file=3)
+    records = [f for r in spark.read.text(str(tmp_path / "warc"), wholetext=True).collect() for f, _ in warc.parse_warc(r.value.encode())]
+    ids = [f["WARC-Record-ID"] for f in records]
+    assert len(set(ids)) == len(ids)
+    by_id = dict(zip(ids, records, strict=True))
+    revisits = [f for f in records if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 10
+    for f in revisits:
+        target = by_id[f["WARC-Refers-To"]]
+        assert (target["WARC-Type"], target["X-Page-Id"], target["WARC-Target-URI"], target["WARC-Date"]) == ("response", f["X-Refers-To-Page"], f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"])
+        assert target["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+
+
 def test_secret_scan(spark):
     key = hashlib.sha1(b"k").hexdigest()
     rows = [(1, f'set token = "{key}" and commit {key[::-1]} then', "src1", 0.5), (2, None, None, 0.5), (3, "", "s", 0.5), (4, "Configurationsmanagerklasse and somethingVeryLongCamelCase", "s", 0.5)]

@@ -9,11 +9,13 @@ The converter parses the header lines of versions 1 (URL, IP, date, type, length
 2 (URL, IP, date, type, result code, checksum, location, offset, file name, length)
 as the file's own version block names them, takes the payload by the declared length,
 and synthesises WARC-Record-ID (a name-based UUID of URL, date and block), WARC-Date,
-WARC-Type, and SHA-1 block and payload digests.
+WARC-Type, and SHA-1 block and payload digests.  A revisit names the response's id, URL and date.  Payloads are bytes
+of any kind.  Malformed ARC records fail the job or, by option, are skipped.  A file is read as one value: choose
+``per_file`` so that so many records fit a task (2000 by default).
 
 Pages: null html is an empty payload, null or blank URLs become "urn:none", white space
 and control characters in a URL are percent-encoded in header lines.  Repeated rows are
-archived as often as they occur.  With equal payloads the largest page_id is the
+archived as often as they occur (with one record id where page_id, URL and payload are equal).  With equal payloads the largest page_id is the
 response; rows that share that page_id are all responses.  An empty table makes no
 records.  Extra columns are ignored.
 """
@@ -25,8 +27,10 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,46 +69,71 @@ def arc_record(version: str, url: str | None, ip: str, date: str, block: bytes)
     return " ".join([*head, str(len(block))]).encode() + b"\n" + block
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record after the version block."""
+def arc_header(line: bytes, fields: list[str]) -> dict[str, str] | None:
+    """Fields of a header line, or None if it does not fit.  A content type may hold spaces; all other fields cannot, so the
+    line is read from both ends."""
+    parts = line.decode("utf-8", "replace").split(" ")
+    if len(parts) < len(fields) or not parts[-1].isdigit() or not re.fullmatch(r"\d{14}", parts[2]):
+        return None
+    kind = fields.index("Content-type")
+    behind = len(fields) - kind - 1
+    values = [*parts[:kind], " ".join(parts[kind : len(parts) - behind]), *parts[len(parts) - behind :]]
+    return dict(zip(fields, values, strict=True))
+
+
+def parse_arc(data: bytes, *, malformed: str = "fail") -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record after the version block.  With ``malformed="skip"`` lines that are no header are passed
+    over up to the next that is one, and a record that is cut short is left out; else either raises ValueError."""
     at, fields = 0, None
     while at < len(data):
         if data[at : at + 1] == b"\n":
             at += 1
             continue
-        end = data.index(b"\n", at)
-        line = data[at:end].decode().split(" ")
-        length = int(line[-1])
-        block = data[end + 1 : end + 1 + length]
-        if len(block) != length:
-            raise ValueError(f"ARC record at {at} is cut short")
-        at = end + 1 + length
-        if line[0].startswith("filedesc:"):
-            named = block.decode().split("\n")
-            fields = named[1].split(" ")
-            if ARC_FIELDS.get(named[0].split(" ")[0]) != named[1]:
-                raise ValueError(f"unknown ARC version block {named[:2]}")
+        end = data.find(b"\n", at)
+        line = data[at : end if end >= 0 else len(data)]
+        if line.startswith(b"filedesc:") and line.rpartition(b" ")[2].isdigit():
+            block = data[end + 1 : end + 1 + int(line.rpartition(b" ")[2])]
+            named = block.decode("utf-8", "replace").split("\n")
+            if len(named) > 1 and ARC_FIELDS.get(named[0].split(" ")[0]) == named[1]:
+                fields, at = named[1].split(" "), end + 1 + len(block)
+                continue
+            raise ValueError(f"unknown ARC version block {named[:2]}")
+        header = arc_header(line, fields) if fields else None
+        length = int(header["Archive-length"]) if header else 0
+        if header is None or end < 0 or end + 1 + length > len(data):
+            if malformed != "skip":
+                raise ValueError(f"ARC record at {at} is cut short" if header else f"ARC header line at {at} does not fit its version")
+            at += len(line) + 1
             continue
-        if fields is None or len(line) != len(fields):
-            raise ValueError(f"ARC header line at {at} does not fit its version")
-        yield dict(zip(fields, line, strict=True)), block
+        at = end + 1 + length
+        yield header, data[end + 1 : at]
 
 
 def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    head, _, payload = block.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return head + b"\r\n\r\n", fields, payload
+    """Head, header fields and payload; a block that is no HTTP response is all payload.  Names are kept as they are written;
+    lines without a colon are no fields."""
+    if not block.startswith(b"HTTP/"):
+        return b"", {}, block
+    end = re.search(rb"\r?\n\r?\n", block)
+    at = end.end() if end else len(block)
+    lines = block[:at].decode("utf-8", "replace").splitlines()[1:]
+    fields = {k.strip(): v.strip() for k, colon, v in (x.partition(":") for x in lines) if colon}
+    return block[:at], fields, block[at:]
 
 
 def sha1_label(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def warc_record(kind: str, url: str, date: str, block: bytes, payload_digest: str | None, more: dict[str, str]) -> bytes:
-    """A record without its end.  The id is a UUID named by what the record holds."""
+def record_id(*names) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, names)))}>"
+
+
+def warc_record(kind: str, url: str, date: str, block: bytes, payload_digest: str | None, more: dict[str, str], own_id: str | None = None) -> bytes:
+    """A record without its end.  Unless it is given, the id is a UUID named by what the record holds."""
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join([kind, url, date, sha1_label(block), *more.values()]))}>",
+        f"WARC-Record-ID: {own_id or record_id(kind, url, date, sha1_label(block), *more.values())}",
         f"WARC-Date: {date}", f"WARC-Block-Digest: {sha1_label(block)}",
     ]
     if kind == "warcinfo":
@@ -122,7 +151,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         fields = dict(x.split(": ", 1) for x in lines[1:])
@@ -135,7 +164,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _strings(rows: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).cast(pa.string())], ["value"])
+    """Bytes as the text writer takes them; they need not be UTF-8 and are written as they are."""
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).cast(pa.string(), safe=False)], ["value"])
 
 
 def _as_arc(version: str, date: str, ip: str, per_file: int):
@@ -163,51 +193,55 @@ def write_arc(
     records.write.option("lineSep", ARC_END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
-def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _from_arc(malformed: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "date", "bytes", "digest", "block"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     for batch in batches:
         for file in batch.column(0):
             rows: list[list] = [[] for _ in names]
-            for fields, block in parse_arc(file.as_buffer().to_pybytes()):
+            for fields, block in parse_arc(file.as_buffer().to_pybytes(), malformed=malformed):
                 _, http, payload = split_http(block)
-                page = http.get("X-Page-Id")
-                values = (None if page is None else int(page), fields["URL"], fields["Archive-date"], len(payload), hashlib.sha1(payload).hexdigest(), block)
+                page = http.get("X-Page-Id", "")
+                values = (int(page) if re.fullmatch(r"-?\d{1,18}", page) else None, fields["URL"], fields["Archive-date"], len(payload), hashlib.sha1(payload).hexdigest(), block)
                 for column, v in zip(rows, values, strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.binary()).cast(k) if n == "block" else pa.array(c, k) for n, c, k in zip(names, rows, kinds, strict=True)], names
+                [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names
             )
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, date, bytes and digest (SHA-1 hex) of the payload, block."""
+def read_arc(spark: SparkSession, path: str, *, malformed: str = "fail") -> DataFrame:
+    """page_id (null where a record names none), url, date, bytes and digest (SHA-1 hex) of the payload, block."""
     files = spark.read.text(path, wholetext=True)
-    return files.mapInArrow(_from_arc, "page_id long, url string, date string, bytes long, digest string, block string")
+    return files.mapInArrow(partial(_from_arc, malformed), "page_id long, url string, date string, bytes long, digest string, block binary")
 
 
 def _iso(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
-def _as_warc(per_file: int):
+def _as_warc(per_file: int, conversion: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written = 0
+        written, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             out = []
-            for page_id, url, date, digest, block, refers in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for page_id, url, date, digest, block, size, refers, target_url, target_date in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 when = _iso(date)
                 if written % per_file == 0:
-                    out.append(warc_record("warcinfo", "", when, b"format: WARC File Format 1.1\r\nconformsTo: converted from ARC\r\n", None, {}))
+                    out.append(warc_record("warcinfo", "", when, b"format: WARC File Format 1.1\r\nconformsTo: converted from ARC\r\n", None, {}, record_id(conversion, task, written)))
                     written += 1
                 label = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
                 own = {} if page_id is None else {"X-Page-Id": str(page_id)}
-                block = block.encode()
                 if refers is None:
-                    out.append(warc_record("response", url, when, block, label, own))
+                    # a record without a page id is known by its place, as nothing refers to it
+                    name = record_id(conversion, page_id, url, date, digest) if page_id is not None else record_id(conversion, task, written)
+                    out.append(warc_record("response", url, when, block, label, own, name))
                 else:
-                    own |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page": str(refers)}
-                    out.append(warc_record("revisit", url, when, split_http(block)[0], label, own))
+                    own |= {
+                        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(conversion, refers, target_url, target_date, digest),
+                        "WARC-Refers-To-Target-URI": target_url, "WARC-Refers-To-Date": _iso(target_date), "X-Refers-To-Page": str(refers), "X-Payload-Bytes": str(size),
+                    }
+                    out.append(warc_record("revisit", url, when, split_http(block)[0], label, own, record_id(conversion, task, written)))
                 written += 1
             if out:
                 yield _strings(out)
@@ -215,19 +249,20 @@ def _as_warc(per_file: int):
     return run
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, least_bytes: int = 1000, per_file: int = 2000) -> None:
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, least_bytes: int = 1000, per_file: int = 2000, malformed: str = "fail") -> None:
     """WARC files from ARC files.  Of records with equal payloads of at least ``least_bytes`` the largest
     page_id stays a response and the others become revisits of it; the choice is one small aggregation of
     digests, joined back to the records without moving other payloads than Spark must."""
-    records = read_arc(spark, arc_path)
+    records = read_arc(spark, arc_path, malformed=malformed)
     groups = (
         records.where(f"bytes >= {least_bytes}").groupBy("digest", "bytes")
-        .agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "target")
+        .agg(F.max("page_id").alias("target"), F.max_by(F.struct("url", "date"), "page_id").alias("at"), F.count("*").alias("n")).where("n > 1")
+        .select("digest", "bytes", "target", F.col("at.url").alias("target_url"), F.col("at.date").alias("target_date"))
     )
     joined = records.join(groups, ["digest", "bytes"], "left").select(
-        "page_id", "url", "date", "digest", "block", F.when(~F.col("target").eqNullSafe(F.col("page_id")), F.col("target")).alias("refers")
+        "page_id", "url", "date", "digest", "block", "bytes", F.when(~F.col("target").eqNullSafe(F.col("page_id")), F.col("target")).alias("refers"), "target_url", "target_date"
     )
-    written = joined.mapInArrow(_as_warc(per_file), "value string")
+    written = joined.mapInArrow(_as_warc(per_file, uuid.uuid4().hex), "value string")
     written.write.option("lineSep", WARC_END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(warc_path)
 
 
@@ -248,8 +283,9 @@ def _from_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"payload digest of {fields['WARC-Record-ID']} does not fit")
                 page, target = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page")
+                size = len(payload) if kind == "response" else int(fields.get("X-Payload-Bytes", http.get("Content-Length", 0)))
                 values = (
-                    None if page is None else int(page), fields["WARC-Target-URI"], fields["WARC-Date"], int(http["Content-Length"]), digest, kind,
+                    None if page is None else int(page), fields["WARC-Target-URI"], fields["WARC-Date"], size, digest, kind,
                     None if target is None else int(target),
                 )
                 for column, v in zip(rows, values, strict=True):
