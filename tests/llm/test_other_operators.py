@@ -326,6 +326,58 @@ def test_pipeline_stages_take_effect(spark):
     assert 0 < before.count() < docs.count()
 
 
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """The whole run with its own settings: nulls, repeated rows, extra and clashing columns, and empty tables."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    r = random.Random(12)
+    item = " ".join(f"bench{i}" for i in range(14))
+    texts = []
+    for i in range(160):
+        words = [f"{r.choice('abcdefgh')}{r.randrange(4000)}" for _ in range(40)]
+        if i % 5 == 0:
+            words[3:3] = words[20:20] = words[31:31] = ["scum"]
+        texts.append(" ".join(words))
+    for i in range(1, 160, 16):  # near copies, exact copies, a line of many sites, a benchmark passage
+        texts[i + 1] = " ".join(texts[i].split()[:-2] + ["new", "end"]) if (i + 1) % 5 and i % 5 else texts[i + 1]
+        texts[i + 2] = texts[i + 2] + "\nall rights reserved "
+        texts[i + 6] = texts[i + 6] + " " + item.upper()
+    texts[8] = texts[7]
+    rows = [(i, x, "en", f"s{i // 10}", len(x), "extra", 1, 2) for i, x in enumerate(texts)]
+    rows += [(900, None, "en", "s1", None, "extra", 1, 2), (901, "", None, None, 0, None, None, None), rows[4], (None, "a text without an id", "en", "s2", 3, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _score string, _words int, key int"
+    labels = [(i, int("scum" in x)) for i, x in enumerate(texts)]
+
+    def written(name, documents):
+        spark.createDataFrame(documents, kind).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        return corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+
+    assert written("none", []) == []
+    got = written("some", rows)
+    left = [(i, x or "", s) for i, x, _, s, *_ in rows if "scum" not in (x or "")]
+    sites: dict[str, set] = {}
+    for _, x, s in left:
+        for line in x.split("\n"):
+            sites.setdefault(line.strip(" \t"), set()).add(s)
+    left = [(i, "\n".join(line for line in x.split("\n") if not line.strip(" \t") or len(sites[line.strip(" \t")]) < 8)) for i, x, s in left]
+    assert not any("reserved" in x for _, x in left)
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := x.lower().split()) else set() for i, x in left}
+    root = {i: i for i in grams if i is not None}
+    for a in sorted(root):
+        for b in sorted(root):
+            if a < b and grams[a] and grams[b] and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    left = {i: x for i, x in left if i is None or root[i] == i}
+    left = {i: x for i, x in left.items() if item not in x.lower()}
+    assert 8 not in left and 100 < len(left) < 128 and {900, 901, None} <= set(left)
+    own = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    assert sorted((str(x.doc_id), x.start, x.length, x.doc_tokens) for x in got) == sorted((str(i), 0, n, n) for i, x in left.items() for n in [len(own.encode(x, add_special_tokens=False).ids) + 1])
+
+
 def test_assigned_secrets_of_any_length_and_characters(spark):
     texts = {
         'x\npassword = "Tr0ub4dor"\n': "Tr0ub4dor", "secret=p@ss!w0rd#9%x next": "p@ss!w0rd#9%x", "set secret=739201748 now": "739201748",
