@@ -46,7 +46,7 @@ STAGES = [
     ("benchmark decontamination", without_benchmarks),
     ("packing", packed),
 ]
-#: A fitted model and a randomised packing have no SQL; tests hold the stages against brute force.
+#: A fitted model and a randomised packing have no SQL; tests/llm holds a whole run, with these settings, against brute force.
 ORACLE_SQL = None
 
 
