@@ -179,8 +179,8 @@ def test_real_archives_are_tolerated(spark, tmp_path, version):
 
 def test_record_ids_are_unique_and_revisits_refer_to_them(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", ("z" if i % 3 else "w") * 1200) for i in range(12)], "page_id long, url string, html string").repartition(3)
-    warc.write_arc(pages, str(tmp_path / "arc"), per_file=3)
-    warc.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), per_file=3)
+    warc.write_arc(pages, str(tmp_path / "arc"), file_bytes=5000)
+    warc.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), file_bytes=5000)
     records = [f for r in spark.read.text(str(tmp_path / "warc"), wholetext=True).collect() for f, _ in warc.parse_warc(r.value.encode())]
     ids = [f["WARC-Record-ID"] for f in records]
     assert len(set(ids)) == len(ids)
@@ -193,6 +193,19 @@ def test_record_ids_are_unique_and_revisits_refer_to_them(spark, tmp_path):
         assert target["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
 
 
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path):
+    sizes = [0, 10, 400_000, 30_000, 30_000, 30_000, 5] * 3
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"{i:06d}" + "y" * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    warc.write_arc(pages, str(tmp_path / "arc"), file_bytes=100_000)
+    warc.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), file_bytes=100_000)
+    for folder, parse in (("arc", warc.parse_arc), ("warc", warc.parse_warc)):
+        files = [r.value.encode() for r in spark.read.text(str(tmp_path / folder), wholetext=True).collect()]
+        held = [len([f for f, _ in parse(x) if f.get("WARC-Type") != "warcinfo"]) for x in files]
+        assert sum(held) == len(sizes) and all(len(x) <= 100_100 or n == 1 for x, n in zip(files, held, strict=True)) and max(held) > 1
+    got = {r.page_id: r.payload_bytes for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert got == {i: n + 6 for i, n in enumerate(sizes)}
+
+
 def test_secret_scan(spark):
     key = hashlib.sha1(b"k").hexdigest()
     rows = [(1, f'set token = "{key}" and commit {key[::-1]} then', "src1", 0.5), (2, None, None, 0.5), (3, "", "s", 0.5), (4, "Configurationsmanagerklasse and somethingVeryLongCamelCase", "s", 0.5)]

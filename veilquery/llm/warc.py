@@ -1,17 +1,17 @@
 """Web archives: ARC writing, conversion of ARC to WARC, and reading WARC back.
 
-Archives are written by Spark's own text writer, one record a row, so that they land
+Archives are written by Spark's own text writer, one file a row, so that they land
 on any file system Spark knows and survive lost tasks.  An ARC record ends with a line
-feed and a WARC record with two CR LF, which are the writer's line separators; inside
-a file records are found by their declared lengths alone.
+feed and a WARC record with two CR LF, which the writer sets behind the last one;
+inside a file records are found by their declared lengths alone.
 
 The converter parses the header lines of versions 1 (URL, IP, date, type, length) and
 2 (URL, IP, date, type, result code, checksum, location, offset, file name, length)
 as the file's own version block names them, takes the payload by the declared length,
 and synthesises WARC-Record-ID (a name-based UUID of URL, date and block), WARC-Date,
 WARC-Type, and SHA-1 block and payload digests.  A revisit names the response's id, URL and date.  Payloads are bytes
-of any kind.  Malformed ARC records fail the job or, by option, are skipped.  A file is read as one value: choose
-``per_file`` so that so many records fit a task (2000 by default).
+of any kind.  Malformed ARC records fail the job or, by option, are skipped.  A file is written and read as one value
+of at most ``file_bytes`` (32 MB by default); a record above that gets a file of its own.
 
 Pages: null html is an empty payload, null or blank URLs become "urn:none", white space
 and control characters in a URL are percent-encoded in header lines.  Repeated rows are
@@ -26,7 +26,7 @@ import base64
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -42,6 +42,7 @@ ARC_FIELDS = {
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 ARC_END, WARC_END = "\n", "\r\n\r\n"
+FILE_BYTES = 1 << 25
 
 
 def _url(url: str | None) -> str:
@@ -163,34 +164,55 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + length
 
 
-def _strings(rows: list[bytes]) -> pa.RecordBatch:
-    """Bytes as the text writer takes them; they need not be UTF-8 and are written as they are."""
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).cast(pa.string(), safe=False)], ["value"])
+class _Files:
+    """Collects records to files: each is one row of the text writer and begins with a record of its own."""
 
+    def __init__(self, end: str, file_bytes: int, begin: Callable[[int], bytes]):
+        """``begin`` makes the first record of the file of a number."""
+        self.end, self.file_bytes, self.begin = end.encode(), file_bytes, begin
+        self.records: list[bytes] = []
+        self.size = self.written = 0
 
-def _as_arc(version: str, date: str, ip: str, per_file: int):
+    def add(self, record: bytes) -> Iterator[pa.RecordBatch]:
+        """Take a record; yields the file before it when that is full."""
+        if self.records and self.size + len(self.end) + len(record) > self.file_bytes:
+            yield from self.close()
+        if not self.records:
+            self.records = [self.begin(self.written)]
+            self.size = len(self.records[0])
+        self.records.append(record)
+        self.size += len(self.end) + len(record)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """The file so far.  Its bytes need not be UTF-8; the text writer takes and writes them as they are."""
+        if self.records:
+            value = self.end.join(self.records)
+            self.records, self.size, self.written = [], 0, self.written + 1
+            yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary()).cast(pa.string(), safe=False)], ["value"])
+
+
+def _write(files: DataFrame, end: str, path: str) -> None:
+    files.write.option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+
+
+def _as_arc(version: str, date: str, ip: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written = 0
+        files = _Files(ARC_END, file_bytes, lambda _: arc_version_block(version, date))
         for batch in batches:
-            out = []
-            for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if written % per_file == 0:  # the writer begins a file after every per_file rows
-                    out.append(arc_version_block(version, date))
-                    written += 1
-                out.append(arc_record(version, url, ip, date, _http(page_id, (html or "").encode())))
-                written += 1
-            if out:
-                yield _strings(out)
+            for page_id, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
+                block = _http(page_id.as_py(), (html.as_py() or "").encode())
+                yield from files.add(arc_record(version, url.as_py(), ip, date, block))
+        yield from files.close()
 
     return run
 
 
 def write_arc(
-    pages: DataFrame, path: str, *, version: str = "1", date: str = "20240101000000", ip: str = "0.0.0.0", per_file: int = 2000
+    pages: DataFrame, path: str, *, version: str = "1", date: str = "20240101000000", ip: str = "0.0.0.0", file_bytes: int = FILE_BYTES
 ) -> None:
-    """ARC files of at most ``per_file`` records, each with its version block."""
-    records = pages.select("page_id", "url", "html").mapInArrow(_as_arc(version, date, ip, per_file), "value string")
-    records.write.option("lineSep", ARC_END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    """ARC files of at most ``file_bytes`` before compression (or one record), each with its version block."""
+    files = pages.select("page_id", "url", "html").mapInArrow(_as_arc(version, date, ip, file_bytes), "value string")
+    _write(files, ARC_END, path)
 
 
 def _from_arc(malformed: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,36 +242,36 @@ def _iso(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
-def _as_warc(per_file: int, conversion: str):
+def _as_warc(file_bytes: int, conversion: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written, task = 0, TaskContext.get().partitionId()
+        task, written, when = TaskContext.get().partitionId(), 0, ""
+        about = b"format: WARC File Format 1.1\r\nconformsTo: converted from ARC\r\n"
+        files = _Files(WARC_END, file_bytes, lambda n: warc_record("warcinfo", "", when, about, None, {}, record_id(conversion, task, "file", n)))
         for batch in batches:
-            out = []
-            for page_id, url, date, digest, block, size, refers, target_url, target_date in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-                when = _iso(date)
-                if written % per_file == 0:
-                    out.append(warc_record("warcinfo", "", when, b"format: WARC File Format 1.1\r\nconformsTo: converted from ARC\r\n", None, {}, record_id(conversion, task, written)))
-                    written += 1
+            for page_id, url, date, digest, block, size, refers, target_url, target_date in zip(*(batch.column(i) for i in range(9)), strict=True):
+                page_id, url, date, digest, refers = (x.as_py() for x in (page_id, url, date, digest, refers))
+                when, block = _iso(date), block.as_buffer().to_pybytes()
                 label = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
                 own = {} if page_id is None else {"X-Page-Id": str(page_id)}
                 if refers is None:
                     # a record without a page id is known by its place, as nothing refers to it
                     name = record_id(conversion, page_id, url, date, digest) if page_id is not None else record_id(conversion, task, written)
-                    out.append(warc_record("response", url, when, block, label, own, name))
+                    record = warc_record("response", url, when, block, label, own, name)
                 else:
+                    target_url, target_date = target_url.as_py(), target_date.as_py()
                     own |= {
                         "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(conversion, refers, target_url, target_date, digest),
-                        "WARC-Refers-To-Target-URI": target_url, "WARC-Refers-To-Date": _iso(target_date), "X-Refers-To-Page": str(refers), "X-Payload-Bytes": str(size),
+                        "WARC-Refers-To-Target-URI": target_url, "WARC-Refers-To-Date": _iso(target_date), "X-Refers-To-Page": str(refers), "X-Payload-Bytes": str(size.as_py()),
                     }
-                    out.append(warc_record("revisit", url, when, split_http(block)[0], label, own, record_id(conversion, task, written)))
+                    record = warc_record("revisit", url, when, split_http(block)[0], label, own, record_id(conversion, task, written))
+                yield from files.add(record)
                 written += 1
-            if out:
-                yield _strings(out)
+        yield from files.close()
 
     return run
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, least_bytes: int = 1000, per_file: int = 2000, malformed: str = "fail") -> None:
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, least_bytes: int = 1000, file_bytes: int = FILE_BYTES, malformed: str = "fail") -> None:
     """WARC files from ARC files.  Of records with equal payloads of at least ``least_bytes`` the largest
     page_id stays a response and the others become revisits of it; the choice is one small aggregation of
     digests, joined back to the records without moving other payloads than Spark must."""
@@ -262,8 +284,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, least_byt
     joined = records.join(groups, ["digest", "bytes"], "left").select(
         "page_id", "url", "date", "digest", "block", "bytes", F.when(~F.col("target").eqNullSafe(F.col("page_id")), F.col("target")).alias("refers"), "target_url", "target_date"
     )
-    written = joined.mapInArrow(_as_warc(per_file, uuid.uuid4().hex), "value string")
-    written.write.option("lineSep", WARC_END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(warc_path)
+    _write(joined.mapInArrow(_as_warc(file_bytes, uuid.uuid4().hex), "value string"), WARC_END, warc_path)
 
 
 def _from_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
