@@ -54,7 +54,7 @@ def test_substring_dedup(docs):
             if i is not None and min(starts[tuple(w[k : k + 50])]) < i:
                 gone |= set(range(k, k + 50))
         want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
-    for options in ({}, {"hot_passages": 1, "shard_words": 500}):
+    for options in ({}, {"split_passages": 1, "shard_words": 500}):
         got = substring_dedup.remove_repeats(docs, **options).collect()
         assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
 

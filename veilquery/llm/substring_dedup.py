@@ -11,9 +11,10 @@ and where the matching statistic reaches the window's length in a state whose fi
 occurrence is in a smaller document, the window is removed.  Maximal runs of removed
 windows are the spans.
 
-A shard holds about ``shard_words`` words.  An anchor with more than ``hot_passages``
-different passages would not fit one: there, windows are compared by a 64-bit hash of
-all their words beside the anchor's own, in an aggregation without large groups.
+A shard holds about ``shard_words`` words.  An anchor with more than ``split_passages``
+different passages would not fit one: its passages are taken for documents and dealt
+out anew by longer anchors (half of the words that are still free each time, a whole
+window in the end, of which there is one passage), so one way decides all of them.
 
 Nulls: null text has no words; a document whose doc_id is null neither loses words nor
 takes any.  Texts shorter than a window are kept.  Repeated rows with the same doc_id
@@ -85,28 +86,19 @@ def _marks(window: int, size: int):
     return run
 
 
-def _passages(window: int, hashed: bool):
-    """The words of each passage, or a hash for each of its windows."""
+def _passages(window: int):
+    """The words of each passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("anchor", "passage", "doc_id", "words", "place", "whole")}
+            out: dict[str, list] = {k: [] for k in ("anchor", "passage", "doc_id", "words")}
             for doc_id, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = text.encode()
-                words = data.split()
-                if hashed:
-                    raw = np.frombuffer(data, np.uint8)
-                    grams = words_of(raw, np.array([0, len(raw)]), SPACED).grams(window).view(np.int64).tolist()
+                words = text.encode().split()
                 for w in wanted:
-                    a, b = w["first"], w["last"] + window
-                    if hashed:
-                        cells = [(None, i - a, grams[i]) for i in range(a, b - window + 1)]
-                    else:
-                        cells = [(b" ".join(words[a:b]).decode(), None, None)]
-                    for cell in cells:
-                        for k, v in zip(out, (w["anchor"], w["passage"], doc_id, *cell), strict=True):
-                            out[k].append(v)
-            kinds = {"anchor": pa.int64(), "passage": pa.int64(), "doc_id": batch.schema.field(0).type, "words": pa.string(), "place": pa.int32(), "whole": pa.int64()}
+                    passage = b" ".join(words[w["first"] : w["last"] + window]).decode()
+                    for k, v in zip(out, (w["anchor"], w["passage"], doc_id, passage), strict=True):
+                        out[k].append(v)
+            kinds = {"anchor": pa.int64(), "passage": pa.int64(), "doc_id": batch.schema.field(0).type, "words": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
 
     return run
@@ -219,13 +211,13 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, *, window: int = 50, anchor: int = 12, shard_words: int = 60_000, hot_passages: int = 1500
+    docs: DataFrame, *, window: int = 50, anchor: int = 12, shard_words: int = 60_000, split_passages: int = 1500
 ) -> DataFrame:
     """Word spans [a, b) to remove: doc_id, own (hash of the text), spans."""
-    return _spans(_identified(docs), window, anchor, shard_words, hot_passages)[0]
+    return _spans(_identified(docs), window, anchor, shard_words, split_passages)[0]
 
 
-def _spans(own: DataFrame, window: int, anchor: int, shard_words: int, hot_passages: int) -> tuple[DataFrame, DataFrame]:
+def _spans(own: DataFrame, window: int, anchor: int, shard_words: int, split_passages: int) -> tuple[DataFrame, DataFrame]:
     """The spans, and the keys of the only documents that can have any."""
     id_type = own.schema["doc_id"].dataType.simpleString()
     marks = own.select("doc_id", "own", "text").mapInArrow(
@@ -238,34 +230,33 @@ def _spans(own: DataFrame, window: int, anchor: int, shard_words: int, hot_passa
     )
     touched = sent_if_small(durable(marks.select("doc_id", "own").distinct()))
     own = own.join(touched, ["doc_id", "own"], "left_semi")
-    hot = durable(least.groupBy("anchor").count().where(F.col("count") > hot_passages).select("anchor"))
+    hot = sent_if_small(durable(least.groupBy("anchor").count().where(F.col("count") > split_passages).select("anchor")))
     total = least.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + window), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / shard_words))
 
-    def passages(of: DataFrame, hashed: bool) -> DataFrame:
+    def passages(of: DataFrame) -> DataFrame:
         wanted = of.groupBy("doc_id", "own").agg(F.collect_list(F.struct("anchor", "passage", "first", "last")).alias("wanted"))
         return own.join(wanted, ["doc_id", "own"]).select("doc_id", "text", "wanted").mapInArrow(
-            _passages(window, hashed), f"anchor long, passage long, doc_id {id_type}, words string, place int, whole long"
+            _passages(window), f"anchor long, passage long, doc_id {id_type}, words string"
         )
 
-    any_hot = hot.limit(1).count() > 0
+    any_hot = anchor < window and hot.limit(1).count() > 0
     removed = (
-        passages(least.join(hot, "anchor", "left_anti") if any_hot else least, False)
+        passages(least.join(hot, "anchor", "left_anti") if any_hot else least)
         .groupBy(F.pmod(F.hash("anchor"), F.lit(shards)).alias("shard"))
         .applyInPandas(_shard(window), f"anchor long, passage long, least {id_type}, starts array<int>, ends array<int>")
     )
     if any_hot:
-        windows = durable(passages(least.join(hot, "anchor", "left_semi"), True))
-        before = windows.groupBy("anchor", "whole").agg(F.min("doc_id").alias("earlier"))
-        by_hash = (
-            windows.join(before, ["anchor", "whole"])
-            .groupBy("anchor", "passage").agg(
-                F.min("doc_id").alias("least"),
-                F.array_sort(F.collect_set(F.when(F.col("earlier") < F.col("doc_id"), F.col("place")))).alias("starts"),
-            )
-            .withColumn("ends", F.transform("starts", lambda x: x + window))
+        as_own = F.xxhash64("anchor", "passage").alias("own")
+        parts = durable(passages(least.join(hot, "anchor", "left_semi")).select("doc_id", as_own, F.col("words").alias("text")))
+        longer = window if window - anchor < 16 else (anchor + window + 1) // 2
+        # a passage of which no smaller document has a window has no spans there
+        within = _spans(parts, window, longer, shard_words, split_passages)[0]
+        removed = removed.unionByName(
+            least.join(hot, "anchor", "left_semi").withColumn("own", as_own)
+            .join(within, ["doc_id", "own"], "left")
+            .select("anchor", "passage", F.col("doc_id").alias("least"), F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"))
         )
-        removed = removed.unionByName(by_hash)
     pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
     whole = F.array(pair(F.col("first"), F.col("last") + window))
     part = F.zip_with("starts", "ends", lambda a, b: pair(F.col("first") + a, F.col("first") + b))
@@ -279,12 +270,12 @@ def _spans(own: DataFrame, window: int, anchor: int, shard_words: int, hot_passa
 
 
 def remove_repeats(
-    docs: DataFrame, *, window: int = 50, anchor: int = 12, shard_words: int = 60_000, hot_passages: int = 1500
+    docs: DataFrame, *, window: int = 50, anchor: int = 12, shard_words: int = 60_000, split_passages: int = 1500
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (its kept words, joined by one space)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")
-    spans, touched = _spans(_identified(docs), window, anchor, shard_words, hot_passages)
+    spans, touched = _spans(_identified(docs), window, anchor, shard_words, split_passages)
     known = own.join(touched, ["doc_id", "own"], "left_semi").join(spans, ["doc_id", "own"], "left").select("doc_id", "text", "spans")
     # documents without a shared anchor need no join with the spans
     rest = own.join(touched, ["doc_id", "own"], "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
