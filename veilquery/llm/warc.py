@@ -192,7 +192,8 @@ class _Files:
 
 
 def _write(files: DataFrame, end: str, path: str) -> None:
-    files.write.option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    out = files.write.option("lineSep", end).option("maxRecordsPerFile", 1)
+    out.option("compression", "gzip").option("zlib.compress.level", "FOUR").text(path)
 
 
 def _as_arc(version: str, date: str, ip: str, file_bytes: int):
