@@ -223,7 +223,8 @@ def _spans(own: DataFrame, window: int, anchor: int, shard_words: int, split_pas
     marks = own.select("doc_id", "own", "text").mapInArrow(
         _marks(window, anchor), f"anchor long, passage long, doc_id {id_type}, own long, first int, last int"
     )
-    shared = marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # written first, so that both sides of the join are plain shuffles and Spark can split a common anchor
+    shared = durable(marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"))
     marks = durable(marks.join(shared, "anchor", "left_semi"))
     least = durable(
         marks.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "own", "first", "last")).alias("m")).select("anchor", "passage", "m.*")
