@@ -3,7 +3,9 @@
 A HyperLogLog sketch of the sites is kept for each line key and merged by
 aggregation.  Its estimate decides lines that are far from the threshold; lines
 whose estimate is within ``margin`` of it (a share of the threshold, many times the
-sketch's error) get an exact distinct count.  DataFrame functions only.
+sketch's error) get an exact distinct count.  DataFrame functions only.  Lines near or above
+the threshold are few; up to a counted million of them go to every task, so that the
+copies of a common line are not brought together.
 
 A line is the text between line feeds, with spaces and tabs at its ends cut; its key
 is two independent hashes (96 bits).  Lines that are empty after the cut are never
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilquery.llm._common import durable, sent_if_small
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -41,14 +45,14 @@ def boilerplate(
         "_ld_key", F.hll_sketch_estimate("s").alias("n")
     )
     # what is never near the threshold from below leaves at once; the rest is a small part of all lines
-    spread = spread.where(F.col("n") >= min_sites * (1 - margin))
+    spread = durable(spread.where(F.col("n") >= min_sites * (1 - margin)))
     near = spread.where(F.col("n") <= min_sites * (1 + margin)).select("_ld_key")
     sure = spread.where(F.col("n") > min_sites * (1 + margin)).select("_ld_key")
     exact = (
-        lines.join(near, "_ld_key", "left_semi").distinct().groupBy("_ld_key").agg(F.count("*").alias("n"))
+        lines.join(sent_if_small(near), "_ld_key", "left_semi").distinct().groupBy("_ld_key").agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_sites).select("_ld_key")
     )
-    return sure.unionByName(exact)
+    return durable(sure.unionByName(exact))
 
 
 def remove_boilerplate(
@@ -62,7 +66,7 @@ def remove_boilerplate(
     hits = (
         docs.where(F.col(text).isNotNull())
         .select(own.alias("_ld_text"), F.explode(F.array_distinct(F.transform(_lines(F.col(text)), _key))).alias("_ld_key"))
-        .join(flagged, "_ld_key", "left_semi")
+        .join(sent_if_small(flagged), "_ld_key", "left_semi")
         .groupBy("_ld_text").agg(F.collect_set("_ld_key").alias("_ld_keys"))
     )
     joined = docs.withColumn("_ld_text", own).join(hits, "_ld_text", "left")
