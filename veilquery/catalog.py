@@ -16,6 +16,7 @@ from veilquery.plans import answer as plain
 from veilquery.plans import private
 from veilquery.schema import DataField, DataSchema, QueryField, QuerySchema
 from veilquery.sources.readers import bound_by_position, iso_timestamp, parsed_json
+from veilquery.sources.xml_files import clear_text_hits, clear_text_lines, query_from_xml, query_to_xml
 from veilquery.streaming.windows import window_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,6 +238,24 @@ def pir_paillier_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.decrypt(private.respond(_table(spark, sf_dir, "nation"), query, "n_nationkey"), key).drop("result_set")
 
 
+@_query("query_xml_roundtrip", "select n_nationkey::varchar as selector, n_regionkey, n_name from nation where n_nationkey in (3, 7, 24)")
+def query_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _schema("nation", "n_nationkey", n_nationkey="int", n_regionkey="int", n_name="string")
+    query, key = private.encrypt_query(spark, schema, ["3", "7", "24"], PaillierScheme.generate(384), hash_bits=7, chunk_size=4)
+    read = query_from_xml(query_to_xml(query, "1", "nations"))
+    return private.decrypt(private.respond(_table(spark, sf_dir, "nation"), read, "n_nationkey"), key).drop("result_set")
+
+
+@_query(
+    "clear_text_xml",
+    "select c_mktsegment as selector, c_custkey::varchar as c_custkey, left(c_name, 12) as c_name, c_nationkey::varchar as c_nationkey from customer where c_mktsegment in ('BUILDING', 'MACHINERY')",
+)
+def clear_text_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = clear_text_lines(plain.answer(_table(spark, sf_dir, "customer"), CUSTOMERS, ["BUILDING", "MACHINERY"]))
+    fields = F.map_from_entries("fields")
+    return clear_text_hits(lines).select("selector", *(fields[c].alias(c) for c in ("c_custkey", "c_name", "c_nationkey")))
+
+
 @_query("json_flatten", "select event_id, json_extract_string(props, '$.k')::int as k from events")
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = DataSchema("props", (DataField("k", "int", 0),))

@@ -30,6 +30,16 @@ def field_type(name: str) -> tuple[str, bool]:
     raise ValueError(f"unknown field type {name!r}")
 
 
+def children(e: ET.Element, name: str) -> list[ET.Element]:
+    """Child elements of a local name, in whatever namespace."""
+    return [x for x in e if isinstance(x.tag, str) and x.tag.rpartition("}")[2] == name]
+
+
+def child_text(e: ET.Element, name: str) -> str:
+    """The trimmed text of the first such child; empty without one."""
+    return next(((x.text or "").strip() for x in children(e, name)), "")
+
+
 @dataclass(frozen=True)
 class DataField:
     name: str
@@ -70,16 +80,13 @@ class DataSchema:
 
     @staticmethod
     def from_xml(text: str) -> DataSchema:
-        root = ET.fromstring(text)
-        local = lambda e: e.tag.rpartition("}")[2]
-        name, fields = "", []
-        for e in root:
-            if local(e) == "name":
-                name = (e.text or "").strip()
-            elif local(e) == "field":
-                own = {local(x): (x.text or "").strip() for x in e}
-                fields.append(DataField(own["name"], own["dataType"], int(own["position"])))
-        return DataSchema(name, tuple(fields))
+        return DataSchema.from_element(ET.fromstring(text))
+
+    @staticmethod
+    def from_element(root: ET.Element) -> DataSchema:
+        return DataSchema(
+            child_text(root, "name"), tuple(DataField(child_text(e, "name"), child_text(e, "dataType"), int(child_text(e, "position") or 0)) for e in children(root, "field"))
+        )
 
 
 @dataclass(frozen=True)
@@ -108,3 +115,17 @@ class QuerySchema:
             scalar, _ = field_type(self.data[f.name].type)
             if f.size is not None and (f.size < 1 or scalar not in ("string", "byteArray")):
                 raise ValueError(f"size of field {f.name!r}")
+
+    @staticmethod
+    def from_xml(text: str) -> QuerySchema:
+        return QuerySchema.from_element(ET.fromstring(text))
+
+    @staticmethod
+    def from_element(root: ET.Element) -> QuerySchema:
+        """A query schema holds the data schema it selects from."""
+        data = children(root, "dataSchema")
+        if len(data) != 1:
+            raise ValueError("a query schema has one data schema")
+        number = lambda e, name: int(child_text(e, name)) if child_text(e, name) else None
+        fields = tuple(QueryField(child_text(e, "name"), number(e, "size"), number(e, "maxArrayElements")) for e in children(root, "field"))
+        return QuerySchema(child_text(root, "name"), DataSchema.from_element(data[0]), child_text(root, "selectorField"), fields)
