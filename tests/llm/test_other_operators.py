@@ -405,3 +405,28 @@ def test_assigned_secrets_of_any_length_and_characters(spark):
     assert all(scored[i, t.index(v)] for i, (t, v) in enumerate(texts.items()) if i < 4)
     harmless = spark.createDataFrame([(0, "password: required\ntoken = None\nsecret: ${DB_SECRET}", "docs/readme.md")], "doc_id long, text string, source string")
     assert not any(r.is_secret for r in secret_scan.scan(harmless).collect())
+
+
+def test_secret_scan_dictionary(spark, tmp_path):
+    import base64
+
+    tokens = [b" harbor", b" harbour", b"harp", b" the", b" Lantern", b" x1yz", " été's".encode(), " forêt".encode(), b"\xff\xfe"]
+    (tmp_path / "v").write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % k for k, t in enumerate(tokens)))
+    words = secret_scan.vocabulary_words(str(tmp_path / "v"))
+    assert words == ("forêt", "harbor", "harbour", "lantern")
+    cases = {"HarbourLantern": 1.0, "harborlanternq7": 13 / 15, "harboxyzw": 0.0, "x9forêtforêt": 10 / 12, "": None}
+    rows = spark.createDataFrame([(c, "", "", "") for c in cases], "candidate string, before string, after string, path string")
+    covered = rows.select("candidate", *secret_scan.features(*(F.col(c) for c in rows.columns), words)).select("candidate", "f_dictionary").collect()
+    assert {r.candidate: r.f_dictionary for r in covered} == pytest.approx({k: v for k, v in cases.items()}, nan_ok=True)
+    with pytest.raises(ValueError):
+        secret_scan.scan(rows, words=tuple(map(str, range(100_001))))
+
+
+def test_secret_scan_empty_repeated_null_and_long(spark):
+    key = hashlib.sha1(b"a key").hexdigest()
+    long = "word " * 300_000 + f'token = "{key}" ' + "tail " * 1000
+    rows = [(1, None, None, 1), (2, "", "p", 1), (3, long, None, 1), (4, f'token = "{key}"', "p", 2), (4, f'token = "{key}"', "p", 2)]
+    schema = "doc_id long, text string, source string, is_secret int"
+    got = secret_scan.scan(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.doc_id, r.start, r.is_secret) for r in got) == [(3, 1_500_009, True), (4, 9, True), (4, 9, True)]
+    assert secret_scan.scan(spark.createDataFrame([], schema)).count() == 0

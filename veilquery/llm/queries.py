@@ -17,7 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    words = secret_scan.vocabulary_words(*(public_tokenizers.path(f"byte_bpe_{name}.tiktoken") for name in ("50k", "multi_50k")))
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), words=words)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,10 @@ result.  Only the named columns are read, so others cannot clash.
 
 from __future__ import annotations
 
+import base64
+import re
+from functools import lru_cache
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -40,7 +44,7 @@ _NEAR_SECRET = r"(?i)(token|secret|passw|passwd|pwd|api.?key|apikey|access.?key|
 _NEAR_HARMLESS = r"(?i)(commit|sha-?\d*|checksum|digest|hash|uuid|guid|md5|integrity|revision|etag|version|build|id|ref|see|file|page|url|trace|example|sample|dummy)\W*$"
 _PLACE_SECRET = r"(?i)(config|\.env|settings|deploy|secret|credential|\.ya?ml|\.ini|\.properties)"
 _PLACE_HARMLESS = r"(?i)(test|example|sample|doc|vendor|fixture|lock|mock|node_modules)"
-#: Common words and word parts; their share of a candidate is its dictionary coverage.
+#: Common words of code; the dictionary where no other is passed.
 _WORDS = (
     "the and for with from this that have not are you your here key token secret password value name user data file test example sample "
     "change placeholder default config service client server access account public private string number index table order page image "
@@ -56,13 +60,47 @@ FEATURES = [
 ]
 
 
-def features(candidate: Column, before: Column, after: Column, path: Column) -> list[Column]:
-    """The numbers the forest sees, in the order of FEATURES."""
+def vocabulary_words(*paths: str) -> tuple[str, ...]:
+    """A dictionary: the whole words (a space before them, four letters or more) of tokenizer vocabularies, whose files
+    have one base64 token and its rank a line."""
+    found = set()
+    for path in paths:
+        with open(path, "rb") as lines:
+            for line in lines:
+                token = base64.b64decode(line.split()[0]).decode("utf-8", "ignore")
+                if re.fullmatch(r" [^\W\d_]{4,}", token):
+                    found.add(token[1:].lower())
+    return tuple(sorted(found))
+
+
+@lru_cache(maxsize=4)
+def _any_of(words: tuple[str, ...]) -> str:
+    """A pattern for the longest of the words at a place, as a tree of their letters: a word costs its length, not the
+    dictionary's size."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def shown(node: dict) -> str:
+        rest = [re.escape(letter) + shown(below) for letter, below in sorted(node.items()) if letter]
+        if not rest:
+            return ""
+        return f"(?:{'|'.join(rest)})" + ("?" if "" in node else "")
+
+    return shown(tree)
+
+
+def features(candidate: Column, before: Column, after: Column, path: Column, words: tuple[str, ...] = tuple(_WORDS)) -> list[Column]:
+    """The numbers the forest sees, in the order of FEATURES.  The share of a candidate that the dictionary's ``words``
+    make up is its dictionary coverage."""
     size = F.char_length(candidate)
     share = lambda pattern: F.regexp_count(candidate, F.lit(pattern)) / size
     low = F.lower(candidate)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    covered = 1 - F.char_length(F.regexp_replace(low, "(" + "|".join(sorted(_WORDS, key=len, reverse=True)) + ")", "")) / size
+    covered = 1 - F.char_length(F.regexp_replace(low, _any_of(words), "")) / size
     values = [
         F.least(size, F.lit(200)), share("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"), share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         share(r"(.)(?=\1)"), F.regexp_count(low, F.lit("(?=(" + "|".join(_PAIRS) + "))")) / size, covered,
@@ -76,8 +114,11 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     return [v.cast("double").alias(n) for v, n in zip(values, FEATURES, strict=True)]
 
 
-def labelled_findings(spark: SparkSession, rows: int = 8000, seed: int = 5) -> DataFrame:
-    """Generated findings with labels: keys of many kinds in their usual places, and look-alikes."""
+def labelled_findings(spark: SparkSession, rows: int = 8000, seed: int = 5, words: tuple[str, ...] = tuple(_WORDS)) -> DataFrame:
+    """Generated findings with labels: keys of many kinds in their usual places, and look-alikes, made of words spread
+    over the dictionary (some two hundred of them) and of the common ones."""
+    some = [*_WORDS, *words[:: len(words) // 100 or 1]]
+
     def draw(salt: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(salt), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
 
@@ -93,7 +134,8 @@ def labelled_findings(spark: SparkSession, rows: int = 8000, seed: int = 5) -> D
 
     lower, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
     mixed = lower + lower.upper() + digits
-    capital = [w.capitalize() for w in _WORDS]
+    capital = [w.capitalize() for w in some]
+    spoken = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
     length = F.floor(draw(1) * 44) + 20
     hex_any = chars(2, hexa, F.element_at(F.array(*map(F.lit, (32, 40, 40, 40, 48, 64))), (F.floor(draw(3) * 6) + 1).cast("int")))
     hex_any = F.when(draw(4) < 0.2, F.upper(hex_any)).otherwise(hex_any)
@@ -101,19 +143,19 @@ def labelled_findings(spark: SparkSession, rows: int = 8000, seed: int = 5) -> D
     kinds = [  # candidate, label, harmless surroundings
         (hex_any, 1, False), (chars(5, mixed + "+/", length), 1, False), (F.concat(F.lit("AKIA"), chars(6, lower.upper() + digits, F.lit(16))), 1, False),
         (F.concat(pick(7, ["ghp_", "sk_live_", "sk-", "xoxb-", "glpat-", "npm_"]), chars(8, mixed, F.lit(30))), 1, False), (chars(9, mixed, F.lit(24)), 1, False),
-        (hex_any, 0, True), (uuid, 0, True), (joined(40, "", 3, capital), 0, True), (joined(50, "_", 3, [*_WORDS, "v2", "x1", "2024"]), 0, True),
-        (F.concat(joined(60, "/", 3, _WORDS), F.lit("/2024/"), chars(20, digits, F.lit(4))), 0, True), (F.concat(F.lit("your_"), joined(70, "_", 2, _WORDS), F.lit("_1")), 0, False),
+        (hex_any, 0, True), (uuid, 0, True), (joined(40, "", 3, capital), 0, True), (joined(50, "_", 3, [*some, "v2", "x1", "2024"]), 0, True),
+        (F.concat(joined(60, "/", 3, some), F.lit("/2024/"), chars(20, digits, F.lit(4))), 0, True), (F.concat(F.lit("your_"), joined(70, "_", 2, some), F.lit("_1")), 0, False),
         (F.repeat(pick(21, ["xX", "0a", "A1", "x0x", "12ab"]), 10), 0, False), (F.concat(F.lit("2024"), chars(22, digits, F.lit(12)), F.lit("a")), 0, True),
-        (F.concat(joined(80, "", 3, ["tion", "ver", "eaux", "ment", "heit", "schen", "ble", "ing"]), chars(23, digits, F.lit(2)), joined(90, "", 2, ["tion", "ver", "eaux"])), 0, True),
-        (F.concat(joined(100, "-", 3, _WORDS), F.lit("-"), chars(24, digits, F.lit(3))), 0, True),
+        (F.concat(joined(80, "", 5, spoken), chars(23, digits, F.lit(2)), joined(90, "", 4, spoken)), 0, True),
+        (F.concat(joined(100, "-", 3, some), F.lit("-"), chars(24, digits, F.lit(3))), 0, True),
         # assigned values: short, with punctuation, of one kind of character; and what else stands after such words
         (chars(110, mixed, F.floor(draw(111) * 9) + 6), 1, False), (chars(112, mixed + "!@#$%^&*.:,?", F.floor(draw(113) * 18) + 7), 1, False),
         (chars(114, digits, F.floor(draw(115) * 10) + 6), 1, False), (chars(116, lower, F.floor(draw(117) * 12) + 8), 1, False),
         (F.concat(pick(118, capital), chars(119, digits, F.lit(3)), pick(120, ["!", "#", "$", "", "."])), 1, False),
-        (pick(121, [*_WORDS, *capital]), 0, False), (joined(122, " ", 3, _WORDS), 0, False), (joined(130, ".", 2, _WORDS), 0, False), (joined(134, "_", 2, _WORDS), 0, False),
+        (pick(121, [*some, *capital]), 0, False), (joined(122, " ", 3, some), 0, False), (joined(130, ".", 2, some), 0, False), (joined(134, "_", 2, some), 0, False),
         (pick(140, ["None", "null", "true", "false", "required", "optional", "string", "str", "0", "1", "the", "a", "********", "xxxxxxxx", "...", "<password>", "<secret>"]), 0, False),
-        (F.concat(pick(141, ["${", "{{", "$(", "<", "%"]), F.upper(joined(142, "_", 2, _WORDS)), pick(145, ["}", "}}", ")", ">", "%"])), 0, False),
-        (F.concat(pick(146, ["os.environ[", "getenv(", "config.get(", "self.", "request."]), joined(147, "_", 2, _WORDS)), 0, False),
+        (F.concat(pick(141, ["${", "{{", "$(", "<", "%"]), F.upper(joined(142, "_", 2, some)), pick(145, ["}", "}}", ")", ">", "%"])), 0, False),
+        (F.concat(pick(146, ["os.environ[", "getenv(", "config.get(", "self.", "request."]), joined(147, "_", 2, some)), 0, False),
     ]
     secret = pick(30, ['token = "', "api_key: ", 'API_KEY="', "password=", 'secret = "', "Authorization: Bearer ", "access_key = '", 'TOKEN = "', "auth_token: "])
     harmless = pick(31, ["commit ", "sha256:", 'checksum = "', "see file ", "uuid=", 'id: "', "the page ", "digest: ", "revision ", "http://x.example/", " and the ", "etag: "])
@@ -125,12 +167,12 @@ def labelled_findings(spark: SparkSession, rows: int = 8000, seed: int = 5) -> D
     ).select("id", "k.*")
     return table.select(
         "candidate", before.alias("before"), F.concat(quote, pick(33, [" ", "\n", ";", ", and", "."])).alias("after"),
-        pick(34, ["src0", "src7", "", "app/config.yaml", "src/main.py", ".env", "docs/readme.md", "tests/test_a.py"]).alias("path"), "label",
+        pick(34, ["", "", "forum", "app/config.yaml", "src/main.py", ".env", "docs/readme.md", "tests/test_a.py"]).alias("path"), "label",
     )
 
 
-def trained(findings: DataFrame, *, trees: int = 24, depth: int = 8, seed: int = 3) -> PipelineModel:
-    table = durable(findings.select(*features(*(F.col(c) for c in ("candidate", "before", "after", "path"))), F.col("label").cast("double").alias("label")))
+def trained(findings: DataFrame, *, words: tuple[str, ...] = tuple(_WORDS), trees: int = 24, depth: int = 8, seed: int = 3) -> PipelineModel:
+    table = durable(findings.select(*features(*(F.col(c) for c in ("candidate", "before", "after", "path")), words), F.col("label").cast("double").alias("label")))
     gather = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep")
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction",
@@ -172,13 +214,17 @@ def candidates(docs: DataFrame, *, text: str = "text", path: str = "source") ->
     return _matches(docs, _RUN, text, path).where(mixes).unionByName(_matches(named, _ASSIGNED, text, path).where(apart))
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, *, text: str = "text", path: str = "source") -> DataFrame:
-    """One row per candidate: doc_id, start, length, sha256, score, is_secret."""
-    model = trained(labelled_findings(docs.sparkSession) if findings is None else findings)
+def scan(docs: DataFrame, findings: DataFrame | None = None, *, words: tuple[str, ...] = tuple(_WORDS), text: str = "text", path: str = "source") -> DataFrame:
+    """One row per candidate: doc_id, start, length, sha256, score, is_secret.  ``words``: the dictionary, for example
+    :func:`vocabulary_words`; a part of the plan, so a hundred thousand words at most."""
+    if len(words) > 100_000:
+        raise ValueError("the dictionary may have 100,000 words at most")
+    words = tuple(words)
+    model = trained(labelled_findings(docs.sparkSession, words=words) if findings is None else findings, words=words)
     own = candidates(docs, text=text, path=path)
     measured = own.select(
         "doc_id", "start", F.char_length("candidate").alias("length"), F.sha2("candidate", 256).alias("sha256"),
-        *features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")),
+        *features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), words),
     )
     scored = model.transform(measured).withColumn("score", F.round(vector_to_array("_probability")[1], 6))
     return scored.select("doc_id", "start", "length", "sha256", "score", (F.col("score") >= 0.5).alias("is_secret"))
