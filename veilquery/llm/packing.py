@@ -34,7 +34,7 @@ from veilquery.llm._common import durable, mix, powers
 
 _PLAIN = 0x250
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
-_CACHE_WORDS = 1_200_000
+_CACHE_WORDS = 300_000  # known at once; some 50 MB
 _FAST_BITS = 17
 
 
@@ -177,11 +177,11 @@ def _pieces(path: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1).to_pylist()
+            ids_of, texts = batch.column(0), batch.column(1)
             rows: tuple[list, ...] = ([], [], [], [], [])
             source = []
             for a in range(0, len(texts), 256):
-                for k, ids in enumerate(encoder.encode(texts[a : a + 256]), start=a):
+                for k, ids in enumerate(encoder.encode(texts.slice(a, 256).to_pylist()), start=a):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(ids), length):
                         part = ids[s : s + length]
