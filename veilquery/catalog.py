@@ -138,10 +138,16 @@ def flt_null_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(((status != "F") & ~(status > "F")).truth()).select("o_orderkey")
 
 
+def _price_by_discount(f: Fields) -> Value:
+    """Over zero every price counts as a positive one, as in the SQL: null, zero and negative prices give infinity too."""
+    by = f["l_discount"] - 0.05
+    return Value(F.when((by == 0).truth(), (value(0.5) / by).column).otherwise((f["l_extendedprice"] / by).column), "double")
+
+
 _compute("math_operators", "lineitem", _LINE, lambda f: f["l_extendedprice"] * 0.5 - f["l_tax"] / 0.25, "l_extendedprice * 0.5::double - l_tax / 0.25::double")
 _compute("math_integral_contagion", "lineitem", _LINE, lambda f: f["l_extendedprice"] + f["l_orderkey"], "trunc(l_extendedprice)::bigint + l_orderkey")
 _compute("math_divide_integral", "lineitem", _LINE, lambda f: (f["l_orderkey"] / 7) + (f["l_partkey"] % 5), "l_orderkey // 7 + l_partkey % 5")
-_compute("math_divide_by_zero", "lineitem", _LINE, lambda f: f["l_extendedprice"] / (f["l_discount"] - 0.05), "case when l_discount = 0.05 then 'Infinity'::double else l_extendedprice / (l_discount - 0.05::double) end")
+_compute("math_divide_by_zero", "lineitem", _LINE, _price_by_discount, "case when l_discount = 0.05 then 'Infinity'::double else l_extendedprice / (l_discount - 0.05::double) end")
 _compute("sqrt", "customer", "c_custkey", lambda f: f["c_custkey"].sqrt(), "sqrt(c_custkey::double)")
 _compute("concat_null", "orders", "o_orderkey", lambda f: f["o_orderpriority"].concat("/").concat(f["o_orderkey"]).concat(None), "o_orderpriority || '/' || o_orderkey::varchar || 'null'")
 _compute("char_length", "documents", "doc_id", lambda f: f["text"].char_length(), "length(text)")
