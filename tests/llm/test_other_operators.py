@@ -315,6 +315,48 @@ def test_toxicity_is_the_difference_of_two_kneser_ney_models(spark):
     assert len(toxicity.fitted_model(docs, known, sure=sure, pair_sure=pair_sure, least=least, most_decided=1).words) <= 1
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """More labelled rows than a former limit: the model, the curve and counts passed on in parts, against counts by hand."""
+    n = 36_000
+    r = random.Random(21)
+    texts = [f"w{i % 40} w{i % 7} same x{r.randrange(3000)}" + (" scum" if i % 5 == 1 and r.random() < 0.9 else "") for i in range(n)]
+    marks = [int(i % 5 == 1) for i in range(n)]
+    counts = []
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int").repartition(4)
+    fit, fitted = toxicity._fit, toxicity.fitted_model
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, *a: counts.append(rows.count() if hasattr(rows, "sparkSession") else len(rows)) or fit(rows, *a))
+    monkeypatch.setattr(toxicity, "fitted_model", lambda d, known, **k: counts.append(known.count()) or fitted(d, known, **k))
+    held = toxicity.toxicity(docs, labels).where("held_out").collect()
+    folds = [zlib.crc32(str(i).encode()) % 5 for i in range(n)]
+    assert counts == [sum(f > 1 for f in folds), sum(f == 1 for f in folds)]
+    assert sum(x.predicted == marks[x.doc_id] for x in held) > 0.95 * len(held)
+
+
+def test_tallies_pass_on_parts_that_sum_to_the_whole():
+    import pyarrow as pa
+
+    texts = [f"a b c{i % 11} a b d{i}" for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([(0, 1, None)[i % 3] for i in range(500)], pa.int32())], ["text", "toxic"])
+
+    def sums():
+        total, parts = {}, 0
+        for part in toxicity._count(iter([batch.slice(k, 50) for k in range(0, 500, 50)])):
+            parts += 1
+            for before, word, *n in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                total[before, word] = [x + y for x, y in zip(total.get((before, word), [0, 0, 0]), n, strict=True)]
+        return total, parts
+
+    whole, parts = sums()
+    held, toxicity._HELD = toxicity._HELD, 100
+    try:
+        again, more = sums()
+    finally:
+        toxicity._HELD = held
+    assert parts == 2 and more > 2 and whole == again
+    assert max(v[0] for v in whole.values()) == 500 and max(v[1] for (b, _), v in whole.items() if b is not None) == 167
+
+
 def test_toxicity_keeps_columns_with_any_name_and_answers_empty_tables(spark):
     rows = [(i, "idiot " * (i % 2) + f"word{i % 7} and more", "kept", 0.5) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _score string, _SCORE_ double")
