@@ -135,3 +135,20 @@ def test_stream_runs_for_a_time(spark, tmp_path):
     stream = spark.readStream.format("rate").load()
     started = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
     assert windows.run_for(started, 2) is False and not started.isActive
+
+
+def test_sums_do_not_depend_on_the_columns_of_a_group(spark, monkeypatch):
+    """Groups hold many columns, as a group costs far more than a chunk, but a bounded number of chunks."""
+    from pyspark.sql import functions as F
+
+    from veilquery import catalog
+
+    assert private.columns_of_group(9) == 1024 and all(private.columns_of_group(b) << b <= max(1 << 19, 1 << b) for b in range(1, 21))
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    query, _ = private.encrypt_query(spark, catalog.ORDERS, catalog.WANTED, NullScheme(), hash_bits=9, chunk_size=5)
+    sums = []
+    for columns in (64, private.columns_of_group(9)):
+        monkeypatch.setattr(private, "columns_of_group", lambda bits, n=columns: n)
+        response = private.respond(orders, query, "o_orderkey", result_set=F.floor(F.col("o_orderkey") / 16384))
+        sums.append(sorted((r[0], r[1], bytes(r[2])) for r in response.collect()))
+    assert sums[0] == sums[1] and len(sums[0]) > 64

@@ -128,6 +128,12 @@ def lowered(query: PrivateQuery, chunk_size: int | None) -> PrivateQuery:
     return replace(query, chunk_size=chunk_size)
 
 
+def columns_of_group(hash_bits: int) -> int:
+    """How many neighbouring columns are summed together: a group's own cost is far above a chunk's, and a group should hold
+    at most 2**19 chunks (2**hash_bits where that is more)."""
+    return min(1024, max(1, (1 << 19) >> hash_bits))
+
+
 def respond(source: DataFrame, query: PrivateQuery, order_by: str, *, chunk_size: int | None = None, **options) -> DataFrame:
     """The response: result_set, column, value (the encrypted sum, big-endian)."""
     query = lowered(query, chunk_size)
@@ -141,8 +147,7 @@ def respond(source: DataFrame, query: PrivateQuery, order_by: str, *, chunk_size
             totals[column] = scheme.add(totals[column], own) if column in totals else own
         return pd.DataFrame({"result_set": [int(rows["result_set"].iloc[0])] * len(totals), "column": list(totals), "value": [_bytes(v) for v in totals.values()]})
 
-    # neighbouring columns share a group, which holds at most 64 * 2**hash_bits chunks
-    grouped = cells(source, query, order_by, **options).groupBy("result_set", F.floor(F.col("column") / 64).alias("_block"))
+    grouped = cells(source, query, order_by, **options).groupBy("result_set", F.floor(F.col("column") / columns_of_group(query.hash_bits)).alias("_block"))
     return grouped.applyInPandas(summed, "result_set long, column long, value binary")
 
 
