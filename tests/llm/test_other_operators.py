@@ -315,6 +315,43 @@ def test_toxicity_is_the_difference_of_two_kneser_ney_models(spark):
     assert len(toxicity.fitted_model(docs, known, sure=sure, pair_sure=pair_sure, least=least, most_decided=1).words) <= 1
 
 
+@pytest.mark.parametrize("most_decided", [0, 2])
+def test_toxicity_counts_decided_expressions_beyond_those_sent(spark, monkeypatch, most_decided):
+    """Words, pairs and contexts that are joined by shuffling give the scores of those that are sent."""
+    r = random.Random(13)
+    common = [f"w{i}" for i in range(25)]
+    rows, marks = [], []
+    for i in range(900):
+        toxic = int(i % 3 == 0)
+        words = [r.choice(common) for _ in range(r.randint(3, 30))]
+        if toxic:
+            words.insert(r.randrange(len(words)), r.choice(["scum", "idiot", "moron"]))
+            words[1:1] = ["w1", "w2"] if r.random() < 0.9 else []
+        elif r.random() < 0.5:
+            words += ["thank", "you"]
+        rows.append((i, " ".join(words), "x", 1))
+        marks.append((i, toxic))
+    rows += [(2000, None, "x", 1), (2001, "", None, 1), (None, "w1 w2 scum " * 9, "x", 1), (None, None, "x", 1), *([rows[0]] * 40), (2002, rows[1][1], "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest string, more int")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    models, fitted = [], toxicity.fitted_model
+    monkeypatch.setattr(toxicity, "fitted_model", lambda *a, **k: models.append(fitted(*a, **k)) or models[-1])
+
+    def scores(**options):
+        scored, name = toxicity.with_scores(docs, labels, pair_sure=2.0, **options)
+        got = [(*x[:4], x[name]) for x in scored.collect()]
+        assert scored.columns[:-1] == docs.columns
+        return sorted(got, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+
+    whole, some = scores(), scores(most_decided=most_decided)
+    every, fewer = ([len(m.words), len(m.pairs), len(m.contexts)] for m in models)
+    assert min(every) > 0 and sum(fewer) <= most_decided
+    assert [x[:4] for x in whole] == [x[:4] for x in some] == sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+    assert np.allclose([x[4] for x in whole], [x[4] for x in some], atol=1e-9) and np.ptp([x[4] for x in some]) > 0.5
+    kept = toxicity.without_toxic(docs, labels, pair_sure=2.0, most_decided=most_decided)
+    assert kept.columns == docs.columns and kept.count() == sum(x[4] < 0.5 for x in whole)
+
+
 def test_toxicity_learns_from_every_label(spark, monkeypatch):
     """More labelled rows than a former limit: the model, the curve and counts passed on in parts, against counts by hand."""
     n = 36_000
